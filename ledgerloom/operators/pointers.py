@@ -22,9 +22,10 @@ class Resolved:
 def resolve_pointers(work: Workspace, links: DataFrame, paths: bool = False) -> Resolved:
     """Follow ``links`` (kind, id, ptr; one row per id, no nulls) to their ends.
 
-    Every round joins each open node with the node it points at and doubles the jump, concatenating path segments, until
-    no node is open. Open nodes only point at open nodes, so once the jump is as long as there are open nodes, all of
-    them lead into loops; a second doubling over the loops' nodes carries the smallest id round each loop.
+    Every round joins each open node with the node it points at and doubles the jump, concatenating path segments. As long
+    as a chain is open, its open node nearest to the end is resolved in the next round, so after a round that resolves
+    nothing all open nodes lead into loops; they have reached them once the jump is as long as there are open nodes.
+    A second doubling over the loops' nodes carries the smallest id round each loop.
 
     ``root`` is the end of the chain, or the smallest id of the loop that it runs into. ``depth`` is the number of links to
     the end; for a node that runs into a loop, the number of links before an id comes a second time. ``path`` lists
@@ -37,8 +38,9 @@ def resolve_pointers(work: Workspace, links: DataFrame, paths: bool = False) ->
     )
     metrics = {"rows": F.count(F.lit(1)), "open": F.count_if(~F.col("done"))}
     state, m = work.write(first, "ptr", **metrics)
-    jump = 1
-    while m["open"] and jump < m["open"]:
+    jump, before = 1, None
+    while m["open"] and (m["open"] != before or jump < m["open"]):
+        before = m["open"]
         at = state.select(
             "kind",
             F.col("id").alias("anc"),
