@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import queries_entities
+from ledgerloom.llm import queries_entities, queries_names
 
-_MODULES = [queries_entities]
+_MODULES = [queries_entities, queries_names]
 
 
 def queries() -> dict:
