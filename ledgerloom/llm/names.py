@@ -47,7 +47,7 @@ def _table(text: str) -> dict[str, frozenset[str]]:
 
 
 NICK, TRADE = _table(SHORT_NAMES), {k: next(iter(v)) for k, v in _table(SHORT_TRADES).items()}
-SUFFIX_MIN, SUFFIX_MAX = 5, 10
+SUFFIX_MIN, SUFFIX_MAX = 4, 10
 #: Up to so many distinct names share a block before it is refined.
 BLOCK = 80
 
@@ -169,16 +169,21 @@ def same_company(a: str, b: str) -> tuple[int, str]:
     ta, tb = a[:-1].split(), b[:-1].split()
     if len(ta) == len(tb):
         return (2, "") if _matched(ta, tb, alike) else (0, "")
-    if len(ta) == 1:
-        return (2, "") if _run_together(ta[0], tb) else (0, "")
-    return (2, "") if len(tb) == 1 and _run_together(tb[0], ta) else (0, "")
+    if len(ta) > len(tb):
+        ta, tb = tb, ta
+    rest_a, rest_b = list(ta), list(tb)
+    for x in ta:
+        hit = next((y for y in rest_b if y == x), None) or next((y for y in rest_b if alike(x, y)), None)
+        if hit:
+            rest_a.remove(x), rest_b.remove(hit)
+    return (2, "") if len(rest_a) == 1 and _run_together(rest_a[0], rest_b) else (0, "")
 
 
 def block_keys(form: str) -> list[tuple[str, str, str]]:
     """(suffix, first letter of another field, first three letters of another field) of a form.
 
-    Suffixes of each token, of the token without its last two letters (a slip may sit there) and of what a short name
-    stands for. The other fields are the other tokens and single letters; a form of one token has its own beginning.
+    Suffixes of each token, of the token without its last two letters and of its first three and four (a slip may sit in the rest), and of
+    what a short name stands for. The other fields are the other tokens and single letters; a form of one token has its own beginning.
     """
     text, letters = form.split("|")
     tokens, out = text.split(), set()
@@ -188,7 +193,7 @@ def block_keys(form: str) -> list[tuple[str, str, str]]:
         for word in {t, *NICK.get(t, ())}:
             tails = {word[-n:] for n in range(SUFFIX_MIN, min(SUFFIX_MAX, len(word)) + 1)} or {word}
             inner = word[:-2]
-            tails |= {inner[-n:] + "~" for n in range(SUFFIX_MIN, min(SUFFIX_MAX, len(inner)) + 1)}
+            tails |= {inner[-n:] + "~" for n in range(SUFFIX_MIN, min(SUFFIX_MAX, len(inner)) + 1)} | {word[:4] + "~~", word[:3] + "~~"}
             out |= {(s, h[0], h[:3]) for s in tails for h in heads}
     return sorted(out)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import queries_entities, queries_names
+from ledgerloom.llm import queries_entities, queries_names, queries_text
 
-_MODULES = [queries_entities, queries_names]
+_MODULES = [queries_entities, queries_names, queries_text]
 
 
 def queries() -> dict:
