@@ -18,7 +18,8 @@ from ledgerloom.session import Workspace
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 CLOSED = re.compile(r"[.!?。؟][\"'”’»)\]]*$")
-MARKER = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\])$")
+#: A mark of omission, or a note in brackets on the last line of the text proper.
+MARKER = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\S +\[[^\]\n]{2,40}\])$")
 #: Lengths so near, in characters or bytes, give the hazard that a length is held against.
 NEAR = 50
 #: A mark of omission stands at most so many characters before the limit that made it necessary.
@@ -52,13 +53,11 @@ def shape(s: str) -> str:
 def ending(text: str) -> tuple:
     """The features of FEATURES from ``closed`` on."""
     s = text.rstrip()
-    last = TOKEN.search(s[-200:][::-1]) if s else None
     tail = s[-400:]
     toks = list(TOKEN.finditer(tail))
     at_end = bool(toks) and toks[-1].end() == len(tail)
     word = toks[-1].group() if at_end else ""
     before = toks[-2].group().lower() if at_end and len(toks) > 1 else ""
-    del last
     opening = shape(re.match(r"[^\w]*(?:\d[\d\W]*)?", s[:60]).group()) if s else ""
     closing = shape(s[s.rfind("\n") + 1 :][-200:])
     marker = bool(MARKER.search(s))
@@ -143,9 +142,9 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     - limit: it ends open at a length (in characters or bytes) that is significant for its source, or with a mark of omission just below one;
     - table, list: its last line lacks cells that all others have, or it ends in a comma, bracket or hyphen;
     - line: texts that open in the same way (a time stamp, say) nearly all close with one of a few last lines, and it doesn't;
-    - word: its last word occurs nowhere inside a text, but begins a word that follows the word before it elsewhere, or
-      a common word;
-    - sentence: its last word is common and no sentence ends with it.
+    - word: its last word begins one that follows the word before it elsewhere, or a common one, and is itself hardly
+      found there; of names at least two letters have to be missing;
+    - sentence: its last word is common and hardly any sentence or paragraph ends with it, nor an open text with its last two words.
     Words are counted over all texts. A text is open if it doesn't end in a full stop, question or exclamation mark, bracket or closing quote.
     Null and empty texts are not cut. A null source is a source of its own.
     """
@@ -168,7 +167,7 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     # last lines of texts that open alike
     uniform = texts.where("opening <> ''").select("opening", "closing", "hash").distinct()
     shapes = uniform.groupBy("opening", "closing").agg(F.count(F.lit(1)).alias("n"))
-    kinds = shapes.groupBy("opening").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= 0.02 * F.lit(1.0) * least, F.col("n"))).alias("_"))
+    kinds = shapes.groupBy("opening").agg(F.sum("n").alias("all"))
     usual = shapes.join(kinds, "opening").where((F.col("n") >= 0.02 * F.col("all")) & (F.col("all") >= least)).select("opening", "closing", "n", "all")
     formal = usual.groupBy("opening").agg((F.sum("n") / F.max("all")).alias("share")).where("share >= 0.6").select("opening")
     usual = usual.select("opening", "closing")
@@ -179,15 +178,20 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     grams = docs.select("text").mapInPandas(_bigrams, "before string, word string, n bigint, ends bigint")
     grams = work.table(grams.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "grams")
     words = work.table(grams.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "words")
-    last = opened.where("plain and not marker").join(usual, ["opening", "closing"], "left_anti").select("before", "word", "lower").distinct()
-    last = work.table(last.join(words.select("word", "n", "ends"), "word", "left").fillna(0, ["n", "ends"]), "last")
-    sentence = last.where((F.col("n") >= least) & (F.col("ends") <= 0.002 * F.col("n"))).select("before", "word", F.lit("sentence").alias("reason"))
-    strange = last.where("n <= 1").withColumn("head", F.substring("word", 1, 3))
-    heads = lambda df, cols: df.select(*cols, F.col("word").alias("whole"), "n", F.explode(F.array_distinct(F.array(*[F.substring("word", 1, k) for k in (1, 2, 3)]))).alias("head"))
-    begins = F.col("whole").startswith(F.col("word")) & (F.col("whole") != F.col("word"))
-    after = strange.select("before", "word", "head").join(heads(grams, ["before"]).where("n >= 2"), ["before", "head"]).where(begins).select("before", "word").distinct()
-    common = strange.where(F.col("lower") & (F.length("word") >= 3)).select("before", "word", "head").join(heads(words, []).where(F.col("n") >= least).where(F.length("head") == 3), "head").where(begins).select("before", "word").distinct()
+    worded = opened.where("plain and not marker").join(usual, ["opening", "closing"], "left_anti")
+    finals = worded.groupBy("before", "word").agg(F.countDistinct("hash").alias("finals"))
+    last = worded.select("before", "word", "lower").distinct().join(finals, ["before", "word"]).join(words.select("word", "n", "ends"), "word", "left")
+    last = work.table(last.join(grams.select("before", "word", F.col("n").alias("pair")), ["before", "word"], "left").fillna(0, ["n", "ends", "pair"]), "last")
+    mid = (F.col("n") >= least) & (F.col("ends") <= 0.002 * F.col("n")) & (F.col("pair") >= 50 * F.col("finals"))
+    sentence = last.where(mid).select("before", "word", F.lit("sentence").alias("reason"))
+    strange = last.withColumn("head", F.substring("word", 1, 3))
+    heads = lambda df, cols: df.select(*cols, F.col("word").alias("whole"), F.col("n").alias("whole_n"), F.explode(F.array_distinct(F.array(*[F.substring("word", 1, k) for k in (1, 2, 3)]))).alias("head"))
+    longer = F.length("whole") - F.length("word")
+    begins = F.col("whole").startswith(F.col("word")) & (longer >= F.when(F.col("lower"), 1).otherwise(2))
+    after = strange.join(heads(grams.where("n >= 2"), ["before"]), ["before", "head"]).where(begins)
+    after = after.where(((F.col("n") <= 1) & (F.col("pair") == 0)) | ((F.col("whole_n") >= least) & (F.col("pair") <= 0.01 * F.col("whole_n")))).select("before", "word").distinct()
+    common = strange.where(F.col("lower") & (F.length("word") >= 3)).join(heads(words.where(F.col("n") >= least), []).where(F.length("head") == 3), "head").where(begins & (F.col("n") <= 0.02 * F.col("whole_n"))).select("before", "word").distinct()
     broken = after.union(common).distinct().withColumn("reason", F.lit("word"))
-    by_word = opened.where("plain and not marker").join(usual, ["opening", "closing"], "left_anti").join(sentence.unionByName(broken), ["before", "word"]).select("hash", "reason", "opening", "closing")
+    by_word = worded.join(sentence.unionByName(broken), ["before", "word"]).select("hash", "reason", "opening", "closing")
     cut = reduce(DataFrame.unionByName, [limit, unlike, torn, by_word]).groupBy("hash").agg(F.min("reason").alias("reason"))
     return feats.select("doc_id", "source", "hash").join(cut, "hash").select("doc_id", "source", "reason")
