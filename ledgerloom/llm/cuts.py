@@ -168,7 +168,7 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     uniform = texts.where("opening <> ''").select("opening", "closing", "hash").distinct()
     shapes = uniform.groupBy("opening", "closing").agg(F.count(F.lit(1)).alias("n"))
     kinds = shapes.groupBy("opening").agg(F.sum("n").alias("all"))
-    usual = shapes.join(kinds, "opening").where((F.col("n") >= 0.02 * F.col("all")) & (F.col("all") >= least)).select("opening", "closing", "n", "all")
+    usual = shapes.join(kinds, "opening").where((F.col("n") >= 0.02 * F.col("all")) & (F.col("n") >= 3) & (F.col("all") >= least)).select("opening", "closing", "n", "all")
     formal = usual.groupBy("opening").agg((F.sum("n") / F.max("all")).alias("share")).where("share >= 0.6").select("opening")
     usual = usual.select("opening", "closing")
     unlike = uniform.join(formal, "opening", "left_semi").join(usual, ["opening", "closing"], "left_anti").select("hash", F.lit("line").alias("reason"), "opening", "closing")

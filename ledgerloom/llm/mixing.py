@@ -65,7 +65,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int
     keyed = counted.withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
     running = prefix_sums(work, keyed, ["source"], ["key", "doc_id"], "tokens", "until")
     sized = running.join(plan.select("source", "epochs", "rest", "target_share"), "source", "left")
-    uses = F.when(F.col("target_share").isNull(), 0).otherwise(F.col("epochs") + F.when(F.col("until") <= F.col("rest"), 1).otherwise(0))
+    uses = F.when(F.col("target_share").isNull(), 0).otherwise(F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("until") <= F.col("rest")), 1).otherwise(0))
     uses = sized.select("doc_id", "source", "tokens", uses.cast("int").alias("uses"))
     used = uses.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"))
     report = plan.join(used, "source", "left").fillna(0, ["used_tokens"])

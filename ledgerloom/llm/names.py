@@ -250,7 +250,7 @@ def variants(spark: SparkSession, rows: DataFrame) -> DataFrame:
     found = work.table(pairs.mapInPandas(_compare, "kind string, a bigint, b bigint, sure int, short bigint, first string"), "found")
     weak = found.where("sure = 1")
     names = weak.groupBy("kind", "short").agg(F.min("first").alias("low"), F.max("first").alias("high"))
-    one = names.where((F.col("low") == F.col("high")) | (F.levenshtein("low", "high") <= 1)).select("kind", "short")
+    one = names.where((F.col("low") == F.col("high")) | (F.levenshtein("low", "high") <= F.when(F.least(F.length("low"), F.length("high")) >= 6, 2).otherwise(1))).select("kind", "short")
     mails = forms.join(reps, ["kind", "form"]).where("mail is not null").select("kind", "rep", "mail").distinct()
     shared = weak.join(mails.withColumnsRenamed({"rep": "a"}), ["kind", "a"]).join(mails.withColumnsRenamed({"rep": "b", "mail": "mail_b"}), ["kind", "b"]).where("mail = mail_b")
     sure = found.where("sure = 2").select("kind", "a", "b").unionByName(weak.join(one, ["kind", "short"], "left_semi").select("kind", "a", "b")).unionByName(shared.select("kind", "a", "b"))
