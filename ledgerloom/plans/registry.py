@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import links
+from ledgerloom.plans import catalog, links
 
-_MODULES = [links]
+_MODULES = [catalog, links]
 
 
 def queries() -> dict:
