@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import catalog, links
+from ledgerloom.plans import catalog, links, scalars
 
-_MODULES = [catalog, links]
+_MODULES = [catalog, links, scalars]
 
 
 def queries() -> dict:
