@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import catalog, links, scalars
+from ledgerloom.plans import analytics, catalog, links, scalars, streams
 
-_MODULES = [catalog, links, scalars]
+_MODULES = [catalog, links, scalars, analytics, streams]
 
 
 def queries() -> dict:
