@@ -41,3 +41,9 @@ def lookup_join(
     )
     hot_side = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, how)
     return left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how).unionByName(hot_side)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores before costly per-row work, if its scan has fewer partitions than there are cores (and so is small)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
