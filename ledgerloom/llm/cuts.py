@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerloom.llm.prefix import prefix_sums
+from ledgerloom.operators.joins import spread
 from ledgerloom.session import Workspace
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -150,6 +151,7 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     """
     work = Workspace(spark, "cuts")
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.md5("text").alias("hash"), "text")
+    docs = spread(docs, "doc_id")
     feats = work.table(docs.mapInPandas(_features, FEATURES), "features")
     # copies of one text say nothing about lengths: each counts once
     texts = work.table(feats.groupBy("source", "hash").agg(*[F.first(c).alias(c) for c in feats.columns if c not in ("doc_id", "source", "hash")]), "texts")

@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.names import fold, lcs
+from ledgerloom.operators.joins import spread
 
 WORD = re.compile(r"[^\W_]+")
+HYPHENS = frozenset("-‐‑\u00ad")
 #: What may stand between the halves of a word that a line end divides.
-BROKEN = re.compile(r"[­]|[-‐‑­][ \t]*\r?\n[\s>|*#]*")
+BROKEN = re.compile(r"\u00ad|[-‐‑\u00ad][ \t]*\r?\n[\s>|*#]*")
 #: A passage has at least so many words of an item.
 LEAST = 12
-#: Matches from this length on, in words, are looked at, if together they have CANDIDATE words.
-SEED, CANDIDATE = 3, 5
+#: Matches from SEED words on are looked at, if one has LONG words or all of one place together have CANDIDATE words. LEAST words with any two of
+#: them changed have that.
+SEED, LONG, CANDIDATE = 3, 6, 7
 #: Test items are put into automata of so many characters at most; more items make more automata, one after another.
 BLOCK_CHARS = 8_000_000
 
@@ -31,7 +34,7 @@ def words(text: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     for m in WORD.finditer(text):
         w, a, b = m.group(), m.start(), m.end()
-        if out and BROKEN.fullmatch(text, out[-1][2], a):
+        if out and text[out[-1][2]] in HYPHENS and BROKEN.fullmatch(text, out[-1][2], a):
             out[-1] = (out[-1][0] + _folded(w), out[-1][1], b)
         else:
             out.append((_folded(w), a, b))
@@ -137,7 +140,7 @@ def align(item: list[str], doc: list[str], low: int, high: int, diagonal: int, b
         for j in range(max(low, i + diagonal - band), min(high, i + diagonal + band + 1)):
             x = doc[j]
             s, m, a = rows[-1].get(j - 1, zero)
-            if near(w, x):
+            if w == x or near(w, x):
                 cell = (s + 1, m + 1, a if s else j)
             else:
                 cell = (s - 1, m, a)
@@ -172,7 +175,7 @@ def passages(auto: Automaton, doc: list[str]) -> dict[int, list[tuple[int, int,
                 continue
             d = at - pos
             low, high = max(0, d - 10), min(len(doc), d + len(item) + 10)
-            if n < LEAST and sum(m for a, p, m in own if low <= a < high and abs(a - p - d) <= 10) < CANDIDATE:
+            if n < LONG and sum(m for a, p, m in own if low <= a < high and abs(a - p - d) <= 10) < CANDIDATE:
                 continue
             got, first, last = align(item, doc, low, high, d)
             if got >= LEAST and first <= at < last:
@@ -195,6 +198,7 @@ def leaked(spark: SparkSession, documents: DataFrame, items: DataFrame, least_co
     own = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     size = own.agg(F.coalesce(F.sum(F.length("text") + 50), F.lit(0)).alias("n")).first().n
     docs = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = spread(docs, "doc_id")
     blocks = max(1, -(-size // BLOCK_CHARS))
     out = None
     for b in range(blocks):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.prefix import prefix_sums
+from ledgerloom.operators.joins import spread
 from ledgerloom.session import Workspace
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,7 +37,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield b[["doc_id", "source"]].assign(tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]])
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
-    return rows.mapInPandas(count, "doc_id bigint, source string, tokens bigint")
+    return spread(rows, "doc_id").mapInPandas(count, "doc_id bigint, source string, tokens bigint")
 
 
 def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
