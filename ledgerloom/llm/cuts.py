@@ -18,6 +18,8 @@ from ledgerloom.operators.joins import spread
 from ledgerloom.session import Workspace
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+#: A token and what stands between it and the next one.
+GAPPED = re.compile(r"([^\W_]+(?:['’][^\W_]+)*)([\W_]*)")
 CLOSED = re.compile(r"[.!?。؟][\"'”’»)\]]*$")
 #: A mark of omission, or a note in brackets on the last line of the text proper.
 MARKER = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\S +\[[^\]\n]{2,40}\])$")
@@ -81,14 +83,10 @@ def _bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         n, ends = Counter(), Counter()
         for text in b["text"]:
-            prev, at = None, 0
-            for m in TOKEN.finditer(text):
-                if prev is not None:
-                    gap = text[at : m.start()]
-                    n[prev] += 1
-                    if gap[0] in ".!?" or "\n\n" in gap:
-                        ends[prev] += 1
-                prev, at = ((prev[1] if prev else ""), m.group().lower()), m.end()
+            found = GAPPED.findall(text.lower())
+            pairs = list(zip(["", *[w for w, _ in found]], [w for w, _ in found[:-1]]))
+            n.update(pairs)
+            ends.update([p for p, (_, gap) in zip(pairs, found) if gap[0] in ".!?" or "\n\n" in gap])
         yield pd.DataFrame([(p, w, c, ends[p, w]) for (p, w), c in n.items()], columns=["before", "word", "n", "ends"])
 
 

@@ -19,11 +19,15 @@ WORD = re.compile(r"[^\W_]+")
 HYPHENS = frozenset("-‐‑\u00ad")
 #: What may stand between the halves of a word that a line end divides.
 BROKEN = re.compile(r"\u00ad|[-‐‑\u00ad][ \t]*\r?\n[\s>|*#]*")
+DIVIDED = re.compile(r"\u00ad|[-‐‑][ \t]*\r?\n")
+INSIDE = re.compile(r"(?<=[^\W_])(?:" + BROKEN.pattern + r")(?=[^\W_])")
 #: A passage has at least so many words of an item.
 LEAST = 12
 #: Matches from SEED words on are looked at, if one has LONG words or all of one place together have CANDIDATE words. LEAST words with any two of
 #: them changed have that.
 SEED, LONG, CANDIDATE = 3, 6, 7
+#: So many of LEAST words in a row stand unchanged near their place before a passage is aligned.
+DENSE = 9
 #: Test items are put into automata of so many characters at most; more items make more automata, one after another.
 BLOCK_CHARS = 8_000_000
 
@@ -41,6 +45,14 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def plain_words(text: str) -> list[str]:
+    """The words without their places, in fewer steps."""
+    text = unicodedata.normalize("NFC", text)
+    if DIVIDED.search(text):
+        text = INSIDE.sub("", text)
+    return WORD.findall(text.lower() if text.isascii() else fold(text))
+
+
 @lru_cache(1 << 18)
 def _folded(w: str) -> str:
     return fold(w)
@@ -161,6 +173,21 @@ def align(item: list[str], doc: list[str], low: int, high: int, diagonal: int, b
     return found if best[0] >= LEAST - 2 else (0, 0, 0)
 
 
+def _dense(item: list[str], doc: list[str], low: int, high: int, diagonal: int, band: int = 10) -> bool:
+    """Whether DENSE of some LEAST words of the item in a row stand near their place in doc[low:high]."""
+    at: dict[str, list[int]] = {}
+    for j in range(low, high):
+        at.setdefault(doc[j], []).append(j - diagonal)
+    hits = [any(-band <= j - i <= band for j in at.get(w, ())) for i, w in enumerate(item)]
+    run = sum(hits[:LEAST])
+    for i in range(LEAST, len(hits) + 1):
+        if run >= DENSE:
+            return True
+        if i < len(hits):
+            run += hits[i] - hits[i - LEAST]
+    return False
+
+
 def passages(auto: Automaton, doc: list[str]) -> dict[int, list[tuple[int, int, int]]]:
     """item -> (first word, last word + 1, matched words) of the passages of LEAST or more words that ``doc`` holds of it."""
     seeds: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -177,6 +204,8 @@ def passages(auto: Automaton, doc: list[str]) -> dict[int, list[tuple[int, int,
             low, high = max(0, d - 10), min(len(doc), d + len(item) + 10)
             if n < LONG and sum(m for a, p, m in own if low <= a < high and abs(a - p - d) <= 10) < CANDIDATE:
                 continue
+            if not _dense(item, doc, low, high, d):
+                continue
             got, first, last = align(item, doc, low, high, d)
             if got >= LEAST and first <= at < last:
                 out[k].append((first, last, got))
@@ -216,6 +245,8 @@ def _streamer(texts, least_coverage: float):
         for batch in batches:
             rows = []
             for d, text in zip(batch["doc_id"], batch["text"]):
+                if not passages(auto, plain_words(text)):
+                    continue
                 toks = words(text)
                 for n, found in passages(auto, [w for w, _, _ in toks]).items():
                     k, s = seqs[n]

@@ -52,9 +52,12 @@ SUFFIX_MIN, SUFFIX_MAX = 4, 10
 BLOCK = 80
 
 
+MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.combining(c)) + "]+")
+
+
 def fold(s: str) -> str:
-    s = unicodedata.normalize("NFKD", s.casefold())
-    return "".join(c for c in s if not unicodedata.combining(c))
+    """Without case and accents."""
+    return MARKS.sub("", unicodedata.normalize("NFKD", s.casefold()))
 
 
 def person_form(name: str | None) -> str | None:
