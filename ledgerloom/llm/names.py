@@ -52,12 +52,16 @@ SUFFIX_MIN, SUFFIX_MAX = 4, 10
 BLOCK = 80
 
 
-MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.combining(c)) + "]+")
+MARKS = frozenset(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.combining(c))
 
 
 def fold(s: str) -> str:
     """Without case and accents."""
-    return MARKS.sub("", unicodedata.normalize("NFKD", s.casefold()))
+    s = unicodedata.normalize("NFKD", s.casefold())
+    if not s.isascii():
+        for c in MARKS.intersection(s):
+            s = s.replace(c, "")
+    return s
 
 
 def person_form(name: str | None) -> str | None:
