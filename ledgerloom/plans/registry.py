@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import analytics, catalog, etl, links, scalars, streams
+from ledgerloom.plans import analytics, catalog, classes, etl, links, scalars, streams
 
-_MODULES = [catalog, etl, links, scalars, analytics, streams]
+_MODULES = [catalog, classes, etl, links, scalars, analytics, streams]
 
 
 def queries() -> dict:
