@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ledgerloom.operators.features import ranked
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the greatest in ``order`` (nulls least), then in all other columns; partial aggregation, no sort of a key's rows."""
@@ -99,7 +101,9 @@ def with_fallback(rows: DataFrame, first: DataFrame, second: DataFrame, first_ke
     return rows.join(a, first_key, "left").join(b, second_key, "left").withColumn(value, F.coalesce("_a", "_b")).drop("_a", "_b")
 
 
-def numbered_names(rows: DataFrame, folder: str, name: str, order: list[Column]) -> Column:
-    """Names made unique within their folder: the second of a name gets ``_1`` before its suffix, and so on."""
-    n = F.row_number().over(W.partitionBy(folder, name).orderBy(*order)) - 1
-    return F.when(n == 0, F.col(name)).otherwise(F.regexp_replace(F.col(name), r"^(.+?)((?:\.[^.]*)?)$", F.concat(F.lit("$1_"), n.cast("string"), F.lit("$2"))))
+def numbered_names(spark: SparkSession, rows: DataFrame, folder: str, name: str, order: list[Column], out: str) -> DataFrame:
+    """``rows`` with names made unique within their folder as ``out``: the second of a name gets ``_1`` before its suffix, and so on."""
+    placed = ranked(spark, rows, order, "_place", 0, [folder, name])
+    n = F.col("_place")
+    new = F.regexp_replace(F.col(name), r"^(.+?)((?:\.[^.]*)?)$", F.concat(F.lit("$1_"), n.cast("string"), F.lit("$2")))
+    return placed.withColumn(out, F.when(n == 0, F.col(name)).otherwise(new)).drop("_place")

@@ -32,6 +32,7 @@ def breadth_first(spark: SparkSession, edges: DataFrame, starts: DataFrame, dept
 
 
 def survivors_of_merge(rows: DataFrame, canonical: str = "canonical_id", key: str = "id") -> DataFrame:
-    """One row per canonical id: the smallest id survives and the others are its sources."""
-    g = rows.where(F.col(canonical).isNotNull()).groupBy(canonical).agg(F.min(key).alias("survivor"), F.count(F.lit(1)).alias("rows"), F.sort_array(F.collect_set(key)).alias("ids"))
-    return g.select(canonical, "survivor", "rows", F.array_except("ids", F.array("survivor")).alias("source_ids"))
+    """canonical id, survivor and id of the rows that the smallest id of their canonical id survives; a row each, nothing is gathered."""
+    named = rows.where(F.col(canonical).isNotNull()).select(canonical, key)
+    least = named.groupBy(canonical).agg(F.min(key).alias("survivor"))
+    return lookup_join(named, least, [canonical], "inner").where(F.col(key) != F.col("survivor")).select(canonical, "survivor", key)

@@ -44,8 +44,8 @@ def increment(counters: DataFrame, deltas: DataFrame) -> DataFrame:
     return counters.join(add, ["namespace", "key"], "full").select("namespace", "key", (F.coalesce("value", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("value"))
 
 
-def hash_fields(table: DataFrame, namespace: str, now: Column) -> DataFrame:
-    """Composite keys ``name:field`` as one map per name."""
-    own = table.where((F.col("namespace") == namespace) & F.col("key").contains(":"))
+def hash_fields(table: DataFrame, now: Column) -> DataFrame:
+    """Composite keys ``name:field`` as one map per namespace and name; the value of an expired field is null."""
     pair = F.struct(F.substring_index("key", ":", -1).alias("field"), F.when(alive(now), F.col("value")).alias("value"))
-    return own.groupBy(F.regexp_extract("key", "^(.*):[^:]*$", 1).alias("name")).agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("fields"))
+    name = F.regexp_extract("key", "^(.*):[^:]*$", 1).alias("name")
+    return table.where(F.col("key").contains(":")).groupBy("namespace", name).agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("fields"))

@@ -203,12 +203,8 @@ def kv_incr(s, d):
 
 @query(_KV + f"SELECT 'user' AS name, namespace, count(*) AS fields, count(*) FILTER (WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '{_NOW}') AS alive FROM kv GROUP BY 2")
 def kv_hash(s, d):
-    spaces = [r.namespace for r in _kv(s, d).select("namespace").distinct().collect()]
-    out = None
-    for n in spaces:
-        part = kv.hash_fields(_kv(s, d), n, _now()).select("name", F.lit(n).alias("namespace"), F.size("fields").cast("bigint").alias("fields"), F.size(F.map_filter("fields", lambda k, v: v.isNotNull())).cast("bigint").alias("alive"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    h = kv.hash_fields(_kv(s, d), _now())
+    return h.select("name", "namespace", F.size("fields").cast("bigint").alias("fields"), F.size(F.map_filter("fields", lambda k, v: v.isNotNull())).cast("bigint").alias("alive"))
 
 
 @query(_KV + "SELECT namespace, key FROM kv WHERE key ILIKE 'user:1_'")

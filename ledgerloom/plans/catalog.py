@@ -316,7 +316,7 @@ def win_rank_share(s, d):
 )
 def win_dedup_suffix(s, d):
     rows = files(s, d).where("filename is not null and trim(filename) <> ''")
-    return rows.select("id", op.numbered_names(rows, "schema_type", "filename", [F.col("id")]).alias("new_name"))
+    return op.numbered_names(s, rows.select("id", "schema_type", "filename"), "schema_type", "filename", [F.col("id")], "new_name").select("id", "new_name")
 
 
 @query("SELECT id, name, level, full_path FROM categories ORDER BY level, name, id OFFSET 50 LIMIT 25")
@@ -386,10 +386,9 @@ def snk_upsert_file(s, d):
     return op.upsert(first, later.where("db_updated_at is not null"), ["id"]).unionByName(later.where("db_updated_at is null").join(first, "id", "left_anti"))
 
 
-@query("SELECT canonical_id, min(id) AS survivor, count(*) AS rows, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM people WHERE canonical_id IS NOT NULL GROUP BY 1")
+@query("SELECT canonical_id, min(id) OVER (PARTITION BY canonical_id) AS survivor, id FROM people WHERE canonical_id IS NOT NULL QUALIFY id <> survivor")
 def grf_merge(s, d):
-    """One survivor per canonical id with the ids of all its rows."""
+    """Each row that another of its canonical id survives."""
     from ledgerloom.operators.graph import survivors_of_merge
 
-    m = survivors_of_merge(table(s, d, "people"))
-    return m.select("canonical_id", "survivor", "rows", F.array_join(F.concat(F.array("survivor"), F.col("source_ids")).cast("array<string>"), ",").alias("ids"))
+    return survivors_of_merge(table(s, d, "people"))

@@ -34,6 +34,6 @@ def training_set(parts: dict[str, DataFrame], path: str) -> None:
 def move_plan(files: DataFrame, folder: Column) -> DataFrame:
     """source, destination, status: where each file (path, filename) would go; names that meet in a folder are numbered."""
     rows = files.withColumn("folder", folder)
-    rows = rows.withColumn("name", numbered_names(rows, "folder", "filename", [F.col("path")]))
+    rows = numbered_names(files.sparkSession, rows, "folder", "filename", [F.col("path")], "name")
     target = F.concat_ws("/", "folder", "name")
     return rows.select(F.col("path").alias("source"), target.alias("destination"), F.when(F.col("path") == target, "already_organized").otherwise("would_move").alias("status"))

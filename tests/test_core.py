@@ -66,7 +66,7 @@ def test_near_join_finds_all_close_pairs(spark):
 def test_paging_and_names(spark):
     df = spark.createDataFrame([(i, "f", "a.txt" if i < 3 else f"b{i}") for i in range(9)], "id int, folder string, name string")
     assert [r.id for r in catalog.page(df, [F.desc("id")], 2, 4).collect()] == [4, 3, 2, 1]
-    assert [r.n for r in df.select(catalog.numbered_names(df, "folder", "name", [F.col("id")]).alias("n"), "id").orderBy("id").limit(4).collect()] == ["a.txt", "a_1.txt", "a_2.txt", "b3"]
+    assert [r.n for r in catalog.numbered_names(spark, df, "folder", "name", [F.col("id")], "n").orderBy("id").limit(4).collect()] == ["a.txt", "a_1.txt", "a_2.txt", "b3"]
     extra = spark.createDataFrame([(1, "g", "new"), (50, "g", "b5"), (51, "g", "new"), (52, "g", "new")], "id int, folder string, name string")
     assert rows(catalog.add_missing(df, extra, ["id", "name"], [F.col("id")]).where("id >= 50").select("id")) == [(51,)]
 
@@ -75,7 +75,7 @@ def test_kv(spark):
     log = spark.createDataFrame([("n", "a", 1, "x", None), ("n", "a", 2, "y", datetime(2024, 1, 1)), ("n", "h:f", 1, "1", None), ("n", "h:g", 1, "2", datetime(2024, 1, 1))], "namespace string, key string, seq int, value string, expires_at timestamp_ntz")
     t, now = kv.last_write(log, ["seq"]), F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
     assert rows(kv.get(t, "n", ["a", "h:f"], now).select("key", "value")) == [("h:f", "1")]
-    assert kv.hash_fields(t, "n", now).first().fields == {"f": "1", "g": None}
+    assert kv.hash_fields(t, now).first().fields == {"f": "1", "g": None}
     assert rows(t.select("key", kv.remaining(now).alias("t"))) == [("a", 0), ("h:f", -1), ("h:g", 0)]
     assert col(spark, kv.kind(F.col("v")), "true", "12", "1.5", "[1]", "x") == ["bool", "int", "float", "json", "string"]
 
