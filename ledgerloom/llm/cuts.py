@@ -145,7 +145,7 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
       found there; of names at least two letters have to be missing;
     - sentence: its last word is common and hardly any sentence or paragraph ends with it, nor an open text with its last two words.
     Words are counted over all texts. A text is open if it doesn't end in a full stop, question or exclamation mark, bracket or closing quote.
-    Null and empty texts are not cut. A null source is a source of its own.
+    Null and empty texts are not cut. A null source is a source of its own, and the limits of all sources hold for it too.
     """
     work = Workspace(spark, "cuts")
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.md5("text").alias("hash"), "text")
@@ -159,7 +159,9 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     opened = texts.where("not closed")
     for unit in ("chars", "bytes"):
         own = limits.where(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("length"))
-        at = opened.join(own, opened.source.eqNullSafe(own.s) & (opened[unit] == own.length), "left_semi")
+        # a text of unknown source may be of any
+        here = opened.source.eqNullSafe(own.s) | opened.source.isNull()
+        at = opened.join(own, (opened[unit] == own.length) & here, "left_semi")
         found.append(at.where("opening = '' or not marker").select("hash", F.lit("limit").alias("reason"), "opening", "closing"))
         below = own.select("s", F.explode(F.sequence(F.col("length") - WORD_ROOM, F.col("length"))).alias("length")).distinct()
         marked = texts.where("marker")

@@ -70,7 +70,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int
     uses = sized.select("doc_id", "source", "tokens", uses.cast("int").alias("uses"))
     used = uses.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"))
     report = plan.join(used, "source", "left").fillna(0, ["used_tokens"])
-    everything = F.greatest(F.lit(1), F.lit(sum(r.used_tokens for r in report.select("used_tokens").collect())))
+    everything = F.lit(max(1, report.agg(F.sum("used_tokens").alias("n")).first().n or 0))
     report = report.select(
         "source", "target_share", "max_repeats", "documents", "tokens", "budget", "used_tokens",
         F.round(F.col("used_tokens") / F.greatest("tokens", F.lit(1)), 4).alias("repeats"),

@@ -16,7 +16,7 @@ from ledgerloom.plans.tables import table
 def merge_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The pairs that events not rolled back join: kind, a, b. Source lists are read as all whole numbers in them, in whatever form they are written."""
     e = table(spark, d, "merge_events").where("not coalesce(is_rolled_back, false)")
-    numbers = F.regexp_extract_all("source_entity_ids", F.lit(r"-?\d+(?:\.0+)?(?![\d.])"), F.lit(0))
+    numbers = F.regexp_extract_all("source_entity_ids", F.lit(r"(?<![\d.])-?\d+(?:\.0+)?(?![\d.])"), F.lit(0))
     return e.select(
         F.nullif(F.trim(F.lower("target_entity_type")), F.lit("")).alias("kind"),
         F.col("target_entity_id").alias("b"),
