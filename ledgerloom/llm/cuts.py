@@ -22,11 +22,13 @@ TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 GAPPED = re.compile(r"([^\W_]+(?:['’][^\W_]+)*)([\W_]*)")
 CLOSED = re.compile(r"[.!?。؟][\"'”’»)\]]*$")
 #: A mark of omission, or a note in brackets on the last line of the text proper.
-MARKER = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\S +\[[^\]\n]{2,40}\])$")
+MARKER = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]| \[[^\]\n]{2,40}\])$")
 #: Lengths so near, in characters or bytes, give the hazard that a length is held against.
 NEAR = 50
+#: A limit stops LIFT times as many texts as the median length near by: lengths of texts made of parts of one size come in broad waves, a limit is a single step.
+LIFT = 8
 #: A mark of omission stands at most so many characters before the limit that made it necessary.
-WORD_ROOM = 24
+WORD_ROOM = 18
 FEATURES = (
     "doc_id bigint, source string, hash string, chars int, bytes int, closed boolean, marker boolean, torn boolean, word string, before string, plain boolean, lower boolean, opening string, closing string"
 )
@@ -112,7 +114,7 @@ def significant_lengths(work: Workspace, lengths: DataFrame, level: float = 1e-3
 
     ``lengths``: source, unit, length, n (distinct texts of that length). The hazard of a length is the share of the texts that reach it
     that end there. Its expectation is the mean hazard of the NEAR lengths before and after it, for texts that
-    reach it; the false-discovery rate over all lengths is held at ``level`` (Benjamini and Hochberg), with ranks from distributed prefix sums.
+    reach it, and the length has to have LIFT times the median number of texts near by; the false-discovery rate over all lengths is held at ``level`` (Benjamini and Hochberg), with ranks from distributed prefix sums.
     Windows run over the distinct lengths of a source, which are as many as its longest text has characters at most.
     """
     w = W.partitionBy("source", "unit").orderBy("length")
@@ -121,17 +123,17 @@ def significant_lengths(work: Workspace, lengths: DataFrame, level: float = 1e-3
     # hazards near by: what ends there, among what reaches the middle of each side
     before = F.sum("n").over(w.rangeBetween(-NEAR, -1))
     hazards = lengths.select(
-        "source", "unit", "length", "n", F.coalesce(near, F.lit(0)).alias("near"), reach.alias("reach"), F.coalesce(before, F.lit(0)).alias("before")
+        "source", "unit", "length", "n", F.coalesce(near, F.lit(0)).alias("near"), reach.alias("reach"), F.coalesce(before, F.lit(0)).alias("before"), F.percentile_approx("n", 0.5).over(w.rangeBetween(-NEAR, NEAR)).alias("usual")
     )
     # texts at risk over the neighbouring lengths: those that reach this one, those that end before it in part, less those that end after it in part
     risk = 2 * NEAR * (F.col("reach") + (F.col("before") - (F.col("near") - F.col("before"))) / 4)
     hazard = (F.col("near") + 1) / F.greatest(risk, F.lit(1.0))
-    tested = hazards.withColumn("mean", F.least(F.col("reach").cast("double"), F.greatest(hazard * F.col("reach"), F.lit(1e-6)))).select("source", "unit", "length", "n", "mean")
-    tested, m = work.write(tested.mapInPandas(_tail, "source string, unit string, length int, n bigint, mean double, logp double"), "tested", tests=F.count(F.lit(1)))
+    tested = hazards.withColumn("mean", F.least(F.col("reach").cast("double"), F.greatest(hazard * F.col("reach"), F.lit(1e-6)))).select("source", "unit", "length", "n", "mean", "usual")
+    tested, m = work.write(tested.mapInPandas(_tail, "source string, unit string, length int, n bigint, mean double, usual bigint, logp double"), "tested", tests=F.count(F.lit(1)))
     ranked = prefix_sums(work, tested.withColumn("all", F.lit(1)).withColumn("one", F.lit(1).cast("bigint")), ["all"], ["logp", "source", "unit", "length"], "one", "rank")
     ranked = work.table(ranked, "ranked")
     cut = ranked.where(F.col("logp") <= F.log(F.lit(level) * F.col("rank") / F.lit(max(1, m["tests"])))).agg(F.max("logp").alias("cut")).first().cut
-    return ranked.where(F.col("logp") <= F.lit(cut) if cut is not None else F.lit(False)).select("source", "unit", "length")
+    return ranked.where((F.col("logp") <= cut) & (F.col("n") >= LIFT * F.col("usual")) if cut is not None else F.lit(False)).select("source", "unit", "length")
 
 
 def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) -> DataFrame:
