@@ -140,7 +140,7 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     """doc_id, source, reason of the ``documents`` (doc_id bigint, text, source; further columns are ignored) whose text lacks its end.
 
     A text is cut if one of these holds of it or of a copy of it:
-    - limit: it ends open at a length (in characters or bytes) that is significant for its source, or with a mark of omission just below one;
+    - limit: it ends open at a length (in characters or bytes) that is significant for its source, or with a mark of omission at or, where most texts do so, just below one;
     - table, list: its last line lacks cells that all others have, or it ends in a comma, bracket or hyphen;
     - line: texts that open in the same way (a time stamp, say) nearly all close with one of a few last lines, and it doesn't;
     - word: its last word begins one that follows the word before it elsewhere, or a common one, and is itself hardly
@@ -165,9 +165,14 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
         here = opened.source.eqNullSafe(own.s) | opened.source.isNull()
         at = opened.join(own, (opened[unit] == own.length) & here, "left_semi")
         found.append(at.where("opening = '' or not marker").select("hash", F.lit("limit").alias("reason"), "opening", "closing"))
-        below = own.select("s", F.explode(F.sequence(F.col("length") - WORD_ROOM, F.col("length"))).alias("length")).distinct()
         marked = texts.where("marker")
-        found.append(marked.join(below, marked.source.eqNullSafe(below.s) & (marked[unit] == below.length), "left_semi").select("hash", F.lit("limit").alias("reason"), "opening", "closing"))
+        found.append(marked.join(own, (marked[unit] == own.length) & marked.source.eqNullSafe(own.s), "left_semi").select("hash", F.lit("limit").alias("reason"), "opening", "closing"))
+        # just below a limit, where most texts end in such a mark
+        below = own.select("s", F.explode(F.sequence(F.col("length") - WORD_ROOM, F.col("length") - 1)).alias("length")).distinct()
+        zone = texts.join(below, texts.source.eqNullSafe(below.s) & (texts[unit] == below.length), "left_semi")
+        using = zone.groupBy(F.col("source").alias("s")).agg(F.avg(F.col("marker").cast("int")).alias("share")).where("share >= 0.5")
+        zone = zone.where("marker")
+        found.append(zone.join(using, zone.source.eqNullSafe(using.s), "left_semi").select("hash", F.lit("limit").alias("reason"), "opening", "closing"))
     # last lines of texts that open alike
     uniform = texts.where("opening <> ''").select("opening", "closing", "hash").distinct()
     shapes = uniform.groupBy("opening", "closing").agg(F.count(F.lit(1)).alias("n"))
