@@ -179,15 +179,15 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     kinds = shapes.groupBy("opening").agg(F.sum("n").alias("all"))
     usual = shapes.join(kinds, "opening").where((F.col("n") >= 0.02 * F.col("all")) & (F.col("n") >= 3) & (F.col("all") >= least)).select("opening", "closing", "n", "all")
     formal = usual.groupBy("opening").agg((F.sum("n") / F.max("all")).alias("share")).where("share >= 0.6").select("opening")
-    usual = usual.select("opening", "closing")
+    usual = work.table(usual.select("opening", "closing"), "usual")
     unlike = uniform.join(formal, "opening", "left_semi").join(usual, ["opening", "closing"], "left_anti").select("hash", F.lit("line").alias("reason"), "opening", "closing")
-    limit = reduce(DataFrame.unionByName, found).join(usual, ["opening", "closing"], "left_anti")
+    limit = work.table(reduce(DataFrame.unionByName, found), "at-limit").join(usual, ["opening", "closing"], "left_anti")
     torn = texts.where("torn").select("hash", F.lit("list").alias("reason"), "opening", "closing")
     # last words against the words inside all texts
     grams = docs.select("text").mapInPandas(_bigrams, "before string, word string, n bigint, ends bigint")
     grams = work.table(grams.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "grams")
     words = work.table(grams.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "words")
-    worded = opened.where("plain and not marker").join(usual, ["opening", "closing"], "left_anti")
+    worded = work.table(opened.where("plain and not marker").join(usual, ["opening", "closing"], "left_anti").select("hash", "before", "word", "lower", "opening", "closing"), "worded")
     finals = worded.groupBy("before", "word").agg(F.countDistinct("hash").alias("finals"))
     last = worded.select("before", "word", "lower").distinct().join(finals, ["before", "word"]).join(words.select("word", "n", "ends"), "word", "left")
     last = work.table(last.join(grams.select("before", "word", F.col("n").alias("pair")), ["before", "word"], "left").fillna(0, ["n", "ends", "pair"]), "last")
@@ -201,6 +201,6 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     after = after.where(((F.col("n") <= 1) & (F.col("pair") == 0)) | ((F.col("whole_n") >= least) & (F.col("pair") <= 0.01 * F.col("whole_n")))).select("before", "word").distinct()
     common = strange.where(F.col("lower") & (F.length("word") >= 3)).join(heads(words.where(F.col("n") >= least), []).where(F.length("head") == 3), "head").where(begins & (F.col("n") <= 0.02 * F.col("whole_n"))).select("before", "word").distinct()
     broken = after.union(common).distinct().withColumn("reason", F.lit("word"))
-    by_word = worded.join(sentence.unionByName(broken), ["before", "word"]).select("hash", "reason", "opening", "closing")
+    by_word = worded.select("hash", "before", "word", "opening", "closing").join(sentence.unionByName(broken), ["before", "word"]).select("hash", "reason", "opening", "closing")
     cut = reduce(DataFrame.unionByName, [limit, unlike, torn, by_word]).groupBy("hash").agg(F.min("reason").alias("reason"))
     return feats.select("doc_id", "source", "hash").join(cut, "hash").select("doc_id", "source", "reason")
