@@ -25,8 +25,8 @@ CLOSED = re.compile(r"[.!?。؟][\"'”’»)\]]*$")
 MARKER = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]| \[[^\]\n]{2,40}\])$")
 #: Lengths so near, in characters or bytes, give the hazard that a length is held against.
 NEAR = 50
-#: A limit stops LIFT times as many texts as the median length near by: lengths of texts made of parts of one size come in broad waves, a limit is a single step.
-LIFT = 8
+#: The highest tenth of the lengths near by tells nothing about the spread of the others: other limits may stand among them.
+TRIM = 0.1
 #: A mark of omission stands at most so many characters before the limit that made it necessary.
 WORD_ROOM = 18
 FEATURES = (
@@ -92,21 +92,40 @@ def _bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(p, w, c, ends[p, w]) for (p, w), c in n.items()], columns=["before", "word", "n", "ends"])
 
 
-def _tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """log of the Poisson probability of ``n`` or more where ``mean`` are expected."""
-
-    def logp(n: int, mean: float) -> float:
-        terms, t = [], -mean + n * math.log(mean) - math.lgamma(n + 1)
-        for k in range(n, n + 400):
-            terms.append(t)
-            t += math.log(mean) - math.log(k + 1)
-            if t < terms[0] - 40:
-                break
-        top = max(terms)
-        return min(0.0, top + math.log(sum(math.exp(x - top) for x in terms)))
+def log_tail(n: int, mean: float, extra: float = 0.0) -> float:
+    """log of the probability of ``n`` or more where ``mean`` are expected: Poisson, or with variance mean + extra * mean^2 negative binomial."""
+    if n <= mean:
+        return 0.0
+    r = 1 / extra if extra > 1e-6 else math.inf
+    if r < math.inf:
+        p = mean / (mean + r)
+        t = math.lgamma(n + r) - math.lgamma(r) - math.lgamma(n + 1) + n * math.log(p) - r * math.log1p(mean / r)
+        step = lambda k: p * (k + r) / (k + 1)
+    else:
+        p = 0.0
+        t = -mean + n * math.log(mean) - math.lgamma(n + 1)
+        step = lambda k: mean / (k + 1)
+    total, term, k = 0.0, 1.0, n
+    while term > 1e-12 and k < n + 400:
+        total, term, k = total + term, term * step(k), k + 1
+    # what is left falls at least as fast as a geometric series
+    return min(0.0, t + math.log(total + term / (1 - max(p, step(k)))))
+
+
+def excess(beside: list[int], length: int) -> float:
+    """Variance above the mean, as a share of the squared mean, of the counts of texts of the lengths near by, of which the TRIM highest are left out."""
+    width = NEAR + min(NEAR, max(0, length - 1))
+    counts = sorted(beside)[: max(0, len(beside) - int(TRIM * width))]
+    size = width - int(TRIM * width)
+    mean = sum(counts) / size
+    return max(0.0, (sum(c * c for c in counts) - size * mean * mean) / (size - 1) - mean) / mean**2 if mean else 0.0
+
 
+def _tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """log_tail of ``n`` where ``mean`` are expected and the lengths near by have the counts ``beside``."""
     for b in batches:
-        yield b.assign(logp=[logp(int(n), float(m)) for n, m in zip(b["n"], b["mean"])])
+        logp = [log_tail(int(n), float(m), excess(list(x), int(i))) for n, m, x, i in zip(b["n"], b["mean"], b["beside"], b["length"])]
+        yield b.drop(columns="beside").assign(logp=logp)
 
 
 def significant_lengths(work: Workspace, lengths: DataFrame, level: float = 1e-3) -> DataFrame:
@@ -114,7 +133,8 @@ def significant_lengths(work: Workspace, lengths: DataFrame, level: float = 1e-3
 
     ``lengths``: source, unit, length, n (distinct texts of that length). The hazard of a length is the share of the texts that reach it
     that end there. Its expectation is the mean hazard of the NEAR lengths before and after it, for texts that
-    reach it, and the length has to have LIFT times the median number of texts near by; the false-discovery rate over all lengths is held at ``level`` (Benjamini and Hochberg), with ranks from distributed prefix sums.
+    reach it. Lengths of texts made of parts of one size come in broad waves, so the number is held against a negative
+    binomial distribution as wide as the counts near by (Poisson where they are not wider); the false-discovery rate over all lengths is held at ``level`` (Benjamini and Hochberg), with ranks from distributed prefix sums.
     Windows run over the distinct lengths of a source, which are as many as its longest text has characters at most.
     """
     w = W.partitionBy("source", "unit").orderBy("length")
@@ -123,17 +143,17 @@ def significant_lengths(work: Workspace, lengths: DataFrame, level: float = 1e-3
     # hazards near by: what ends there, among what reaches the middle of each side
     before = F.sum("n").over(w.rangeBetween(-NEAR, -1))
     hazards = lengths.select(
-        "source", "unit", "length", "n", F.coalesce(near, F.lit(0)).alias("near"), reach.alias("reach"), F.coalesce(before, F.lit(0)).alias("before"), F.percentile_approx("n", 0.5).over(w.rangeBetween(-NEAR, NEAR)).alias("usual")
+        "source", "unit", "length", "n", F.coalesce(near, F.lit(0)).alias("near"), reach.alias("reach"), F.coalesce(before, F.lit(0)).alias("before"), F.concat(F.collect_list("n").over(w.rangeBetween(-NEAR, -1)), F.collect_list("n").over(w.rangeBetween(1, NEAR))).alias("beside")
     )
     # texts at risk over the neighbouring lengths: those that reach this one, those that end before it in part, less those that end after it in part
     risk = 2 * NEAR * (F.col("reach") + (F.col("before") - (F.col("near") - F.col("before"))) / 4)
     hazard = (F.col("near") + 1) / F.greatest(risk, F.lit(1.0))
-    tested = hazards.withColumn("mean", F.least(F.col("reach").cast("double"), F.greatest(hazard * F.col("reach"), F.lit(1e-6)))).select("source", "unit", "length", "n", "mean", "usual")
-    tested, m = work.write(tested.mapInPandas(_tail, "source string, unit string, length int, n bigint, mean double, usual bigint, logp double"), "tested", tests=F.count(F.lit(1)))
+    tested = hazards.withColumn("mean", F.least(F.col("reach").cast("double"), F.greatest(hazard * F.col("reach"), F.lit(1e-6)))).select("source", "unit", "length", "n", "mean", "beside")
+    tested, m = work.write(tested.mapInPandas(_tail, "source string, unit string, length int, n bigint, mean double, logp double"), "tested", tests=F.count(F.lit(1)))
     ranked = prefix_sums(work, tested.withColumn("all", F.lit(1)).withColumn("one", F.lit(1).cast("bigint")), ["all"], ["logp", "source", "unit", "length"], "one", "rank")
     ranked = work.table(ranked, "ranked")
     cut = ranked.where(F.col("logp") <= F.log(F.lit(level) * F.col("rank") / F.lit(max(1, m["tests"])))).agg(F.max("logp").alias("cut")).first().cut
-    return ranked.where((F.col("logp") <= cut) & (F.col("n") >= LIFT * F.col("usual")) if cut is not None else F.lit(False)).select("source", "unit", "length")
+    return ranked.where(F.col("logp") <= cut if cut is not None else F.lit(False)).select("source", "unit", "length")
 
 
 def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) -> DataFrame:

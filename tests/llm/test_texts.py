@@ -1,5 +1,6 @@
 """Leaks, mixing and cut texts against brute force on small inputs."""
 
+import math
 import os
 import random
 import re
@@ -118,3 +119,21 @@ def test_length_windows_find_a_limit(spark):
     lengths = [("s", "chars", n, rnd.randrange(1, 4)) for n in range(100, 900, 3)] + [("s", "chars", 800, 40)] + [("r", "chars", n, 2) for n in range(10, 60)]
     got = cuts.significant_lengths(Workspace(spark, "t"), spark.createDataFrame(lengths, "source string, unit string, length int, n bigint").groupBy("source", "unit", "length").agg(F.sum("n").alias("n")))
     assert {(r.source, r.length) for r in got.collect()} == {("s", 800)}
+
+
+def test_few_texts_at_a_limit_count_and_waves_do_not(spark):
+    """A limit with fewer than eight texts, and lengths that come in waves with up to thirty of one length."""
+    from ledgerloom.session import Workspace
+
+    lengths = [("few", "chars", n, 1) for n in range(100, 700, 9)] + [("few", "chars", 500, 5)]
+    lengths += [("waves", "chars", n, max(0, int(30 * (1 + math.sin(n / 7)) / 2) + rnd.randrange(-2, 3))) for n in range(100, 1200)]
+    df = spark.createDataFrame([x for x in lengths if x[3]], "source string, unit string, length int, n bigint")
+    got = cuts.significant_lengths(Workspace(spark, "t"), df.groupBy("source", "unit", "length").agg(F.sum("n").alias("n")))
+    assert {(r.source, r.length) for r in got.collect()} == {("few", 500)}
+
+
+def test_tail_of_counts():
+    assert abs(cuts.log_tail(5, 1.0) - math.log(1 - sum(math.exp(-1) / math.factorial(k) for k in range(5)))) < 1e-9
+    # geometric for extra = 1: P(n or more) = (mean / (1 + mean)) ** n
+    assert abs(cuts.log_tail(900, 100.0, 1.0) - 900 * math.log(100 / 101)) < 1e-6
+    assert cuts.excess([7] * 100, 500) == 0 and cuts.excess([1, 1, 2], 500) == 0 and cuts.excess([20] * 50, 500) > 0.5
