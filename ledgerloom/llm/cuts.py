@@ -30,7 +30,7 @@ TRIM = 0.1
 #: A mark of omission stands at most so many characters before the limit that made it necessary.
 WORD_ROOM = 18
 FEATURES = (
-    "doc_id bigint, source string, hash string, chars int, bytes int, closed boolean, marker boolean, torn boolean, word string, before string, plain boolean, lower boolean, opening string, closing string"
+    "doc_id bigint, source string, hash string, chars int, bytes int, closed boolean, marker boolean, torn boolean, word string, before string, plain boolean, lower boolean, opening string, closing string, mark string"
 )
 
 
@@ -65,11 +65,12 @@ def ending(text: str) -> tuple:
     before = toks[-2].group().lower() if at_end and len(toks) > 1 else ""
     opening = shape(re.match(r"[^\w]*(?:\d[\d\W]*)?", s[:60]).group()) if s else ""
     closing = shape(s[s.rfind("\n") + 1 :][-200:])
-    marker = bool(MARKER.search(s))
+    omission = MARKER.search(s)
+    marker = bool(omission)
     closed = bool(CLOSED.search(s)) or s.endswith(("]", ")", "”", "»", '"')) or not s
     return (
         closed and not marker, marker, torn_table(s) or s.endswith((",", ";", "(", "&", "-")), word.lower(), before,
-        bool(word) and word.isalpha(), word[:1].islower(), opening if len(opening) >= 8 else "", closing,
+        bool(word) and word.isalpha(), word[:1].islower(), opening if len(opening) >= 8 else "", closing, shape(omission.group().strip().lower()) if omission else "",
     )
 
 
@@ -156,11 +157,40 @@ def significant_lengths(work: Workspace, lengths: DataFrame, level: float = 1e-3
     return ranked.where(F.col("logp") <= cut if cut is not None else F.lit(False)).select("source", "unit", "length")
 
 
+def _due(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """source, mark of the marks that stand before limits at least twice as often as other endings, and mostly so or more often than chance gives."""
+    for b in batches:
+        due = [z >= 2 * n * p and (2 * z >= n or log_tail(int(z), max(n * p, 1e-6)) <= math.log(1e-3)) for n, z, p in zip(b["n"], b["z"], b["chance"])]
+        yield b.loc[due, ["source", "kind"]]
+
+
+def marked_below(work: Workspace, texts: DataFrame, at: DataFrame, below: DataFrame) -> DataFrame:
+    """hash, reason, opening, closing of the texts with a mark of omission that the room before a limit made necessary.
+
+    ``at``: the texts that stand at a limit; ``below``: those in the WORD_ROOM before one, with its source ``s``. Each mark of a source is judged by itself: by
+    the share of its texts that stand below a limit, against that of the unmarked texts. Notes that occur once are judged together.
+    A text of unknown source takes its mark's verdict among such texts, or in the source of the limit.
+    """
+    here = lambda df: df.select(F.col("source").alias("s0"), F.col("hash").alias("h0")).distinct()
+    same = lambda df, x: df.source.eqNullSafe(x.s0) & (df.hash == x.h0)
+    there, near = here(at), here(below).withColumn("near", F.lit(1))
+    free = texts.join(there, same(texts, there), "left_anti")
+    free = work.table(free.join(near, same(free, near), "left").select("source", "hash", "marker", "mark", F.coalesce("near", F.lit(0)).alias("near")), "free")
+    single = free.where(r"marker and mark like '[%' and not mark rlike '^.(…|[.]{3})'").groupBy("mark").agg(F.countDistinct("hash").alias("texts")).where("texts = 1").select("mark", F.lit("[]").alias("other"))
+    kinds = work.table(free.where("marker").select("mark").distinct().join(single, "mark", "left").select("mark", F.coalesce("other", "mark").alias("kind")), "kinds")
+    chance = free.where("not marker").groupBy(F.col("source").alias("s0")).agg(F.avg("near").alias("chance"))
+    counts = free.where("marker").join(kinds, "mark").groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("near").alias("z")).where("z > 0")
+    counts = counts.join(chance, counts.source.eqNullSafe(chance.s0), "left").select("source", "kind", "n", "z", F.coalesce("chance", F.lit(0.0)).alias("chance"))
+    due = work.table(counts.mapInPandas(_due, "source string, kind string"), "due").select(F.col("source").alias("d"), F.col("kind").alias("due"))
+    zone = below.where("marker").join(there, same(below, there), "left_anti").join(kinds, "mark")
+    return zone.join(due, (zone.kind == due.due) & (zone.source.eqNullSafe(due.d) | (zone.source.isNull() & zone.s.eqNullSafe(due.d))), "left_semi").select("hash", F.lit("limit").alias("reason"), "opening", "closing")
+
+
 def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) -> DataFrame:
     """doc_id, source, reason of the ``documents`` (doc_id bigint, text, source; further columns are ignored) whose text lacks its end.
 
     A text is cut if one of these holds of it or of a copy of it:
-    - limit: it ends open at a length (in characters or bytes) that is significant for its source, or with a mark of omission at or, where most texts do so, just below one;
+    - limit: it ends open at a length (in characters or bytes) that is significant for its source, or with a mark of omission at one, or just below one if this mark stands there more often than other endings do;
     - table, list: its last line lacks cells that all others have, or it ends in a comma, bracket or hyphen;
     - line: texts that open in the same way (a time stamp, say) nearly all close with one of a few last lines, and it doesn't;
     - word: its last word begins one that follows the word before it elsewhere, or a common one, and is itself hardly
@@ -177,22 +207,17 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     texts = work.table(feats.groupBy("source", "hash").agg(*[F.first(c).alias(c) for c in feats.columns if c not in ("doc_id", "source", "hash")]), "texts")
     lengths = texts.select("source", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "length")).groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     limits = work.table(significant_lengths(work, lengths), "limits")
-    found = []
     opened = texts.where("not closed")
+    at, below = [], []
     for unit in ("chars", "bytes"):
         own = limits.where(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("length"))
-        # a text of unknown source may be of any
-        here = opened.source.eqNullSafe(own.s) | opened.source.isNull()
-        at = opened.join(own, (opened[unit] == own.length) & here, "left_semi")
-        found.append(at.where("opening = '' or not marker").select("hash", F.lit("limit").alias("reason"), "opening", "closing"))
-        marked = texts.where("marker")
-        found.append(marked.join(own, (marked[unit] == own.length) & marked.source.eqNullSafe(own.s), "left_semi").select("hash", F.lit("limit").alias("reason"), "opening", "closing"))
-        # just below a limit, where most texts end in such a mark
-        below = own.select("s", F.explode(F.sequence(F.col("length") - WORD_ROOM, F.col("length") - 1)).alias("length")).distinct()
-        zone = texts.join(below, texts.source.eqNullSafe(below.s) & (texts[unit] == below.length), "left_semi")
-        using = zone.groupBy(F.col("source").alias("s")).agg(F.avg(F.col("marker").cast("int")).alias("share")).where("share >= 0.5")
-        zone = zone.where("marker")
-        found.append(zone.join(using, zone.source.eqNullSafe(using.s), "left_semi").select("hash", F.lit("limit").alias("reason"), "opening", "closing"))
+        room = own.select("s", F.explode(F.sequence(F.col("length") - WORD_ROOM, F.col("length") - 1)).alias("length")).distinct()
+        for stops, kept in ((own, at), (room, below)):
+            # a text of unknown source may be of any
+            kept.append(texts.join(stops, (texts[unit] == stops.length) & (texts.source.eqNullSafe(stops.s) | texts.source.isNull())).select(*texts.columns, "s"))
+    at = work.table(reduce(DataFrame.unionByName, at).select("source", "hash", "closed", "opening", "closing").distinct(), "at")
+    below = work.table(reduce(DataFrame.unionByName, below).select("source", "hash", "marker", "mark", "opening", "closing", "s").distinct(), "below")
+    found = [at.where("not closed").select("hash", F.lit("limit").alias("reason"), "opening", "closing"), marked_below(work, texts, at, below)]
     # last lines of texts that open alike
     uniform = texts.where("opening <> ''").select("opening", "closing", "hash").distinct()
     shapes = uniform.groupBy("opening", "closing").agg(F.count(F.lit(1)).alias("n"))

@@ -137,3 +137,18 @@ def test_tail_of_counts():
     # geometric for extra = 1: P(n or more) = (mean / (1 + mean)) ** n
     assert abs(cuts.log_tail(900, 100.0, 1.0) - 900 * math.log(100 / 101)) < 1e-6
     assert cuts.excess([7] * 100, 500) == 0 and cuts.excess([1, 1, 2], 500) == 0 and cuts.excess([20] * 50, 500) > 0.5
+
+
+def test_marks_below_a_limit_are_judged_by_the_mark(spark):
+    """Marked cuts among more texts that end of themselves at such lengths, of a source and of none; a mark that stands anywhere is no cut."""
+    whole = lambda n: filler(n)[: n - 1].rstrip() + "."
+    pad = lambda n, end: filler(n)[: n - len(end)].ljust(n - len(end), "o") + end
+    docs = [(i, "s", pad(rnd.randrange(100, 700), ".")) for i in range(300)]
+    docs += [(1000 + i, "s", pad(500, "o")) for i in range(30)]  # the limit
+    docs += [(2000 + i, "s", pad(482 + i % 18, ".")) for i in range(80)]  # complete, more than half of the texts below the limit
+    marked = [(3000 + i, "s", pad(488 + i % 9, " [...]")) for i in range(20)]
+    docs += [(4000 + i, "s", pad(110 + 9 * i, "...")) for i in range(40)]  # a pause, at any length
+    unknown = [(5000, None, pad(495, " [...]"))]
+    docs += marked + unknown + [(5001, None, pad(300, " [...]")), (5002, None, whole(494))]
+    got = {r.doc_id for r in cuts.cut_documents(spark, spark.createDataFrame(docs, "doc_id bigint, source string, text string")).where("reason = 'limit'").collect()}
+    assert got - set(range(1000, 1030)) == {d for d, *_ in marked + unknown}
