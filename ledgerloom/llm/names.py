@@ -48,7 +48,7 @@ def _table(text: str) -> dict[str, frozenset[str]]:
 
 NICK, TRADE = _table(SHORT_NAMES), {k: next(iter(v)) for k, v in _table(SHORT_TRADES).items()}
 SUFFIX_MIN, SUFFIX_MAX = 4, 10
-#: Up to so many distinct names share a block before it is refined.
+#: Up to so many distinct names share a block before it is refined; no block is discarded.
 BLOCK = 80
 
 
@@ -186,23 +186,74 @@ def same_company(a: str, b: str) -> tuple[int, str]:
     return (2, "") if len(rest_a) == 1 and _run_together(rest_a[0], rest_b) else (0, "")
 
 
-def block_keys(form: str) -> list[tuple[str, str, str]]:
-    """(suffix, first letter of another field, first three letters of another field) of a form.
+def suffixes(token: str) -> set[str]:
+    """Suffixes of a token, of the token without its last two letters and of its first three and four (a slip may sit in the rest), and of what a short name stands for."""
+    out = set()
+    for word in {token, *NICK.get(token, ())}:
+        out |= {word[-n:] for n in range(SUFFIX_MIN, min(SUFFIX_MAX, len(word)) + 1)} or {word}
+        inner = word[:-2]
+        out |= {inner[-n:] + "~" for n in range(SUFFIX_MIN, min(SUFFIX_MAX, len(inner)) + 1)} | {word[:4] + "~~", word[:3] + "~~"}
+    return out
 
-    Suffixes of each token, of the token without its last two letters and of its first three and four (a slip may sit in the rest), and of
-    what a short name stands for. The other fields are the other tokens and single letters; a form of one token has its own beginning.
+
+def without_one(word: str) -> set[str]:
+    """The word, and it without any one letter: words one slip apart (see ``alike``) share one of these."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def near(token: str) -> set[str]:
+    """Keys that tokens share if ``given`` holds of them."""
+    return (without_one(token) if len(token) >= 4 else {token}) | NICK.get(token, frozenset())
+
+
+def fine_keys(kind: str, form: str, suffix: str) -> set[tuple[str, str]]:
+    """(role, key) of a form in a block of a suffix, such that any two forms of the block that can match share a key in fitting roles.
+
+    - same, with same: forms of equally many tokens share the number and a key of another token (of the only one, if there is one);
+    - ask, with answer: a person of one token and letters meets full names by their first letters, and forms of the same kind.
+    Tokens run together have ``joined_keys``.
     """
     text, letters = form.split("|")
     tokens, out = text.split(), set()
     for i, t in enumerate(tokens):
-        others = [x for j, x in enumerate(tokens) if j != i] + list(letters) or [t]
-        heads = {h for x in others for h in {x, *NICK.get(x, ())}}
-        for word in {t, *NICK.get(t, ())}:
-            tails = {word[-n:] for n in range(SUFFIX_MIN, min(SUFFIX_MAX, len(word)) + 1)} or {word}
-            inner = word[:-2]
-            tails |= {inner[-n:] + "~" for n in range(SUFFIX_MIN, min(SUFFIX_MAX, len(inner)) + 1)} | {word[:4] + "~~", word[:3] + "~~"}
-            out |= {(s, h[0], h[:3]) for s in tails for h in heads}
-    return sorted(out)
+        if suffix not in suffixes(t):
+            continue
+        others = [x for j, x in enumerate(tokens) if j != i]
+        if others or not letters:
+            out |= {("same", f"{len(tokens)}|{k}") for x in others or [t] for k in near(x)}
+        if kind != "company":
+            if len(tokens) == 1 and letters:
+                out |= {("ask", "=" + letters[0]), ("answer", "=" + letters[0])}
+            elif len(tokens) == 2:
+                out |= {("answer", "=" + n[0]) for n in {*others, *NICK.get(others[0], ())}}
+    return out
+
+
+def joined_keys(kind: str, form: str) -> set[tuple[str, str]]:
+    """(role, key) by which a token that may be others run together (ask) meets the first or the last of them (answer).
+
+    One slip leaves the first or the last one whole, unless it swaps the letters between them.
+    """
+    text, letters = form.split("|")
+    tokens, out = text.split(), set()
+    if kind == "company" or (len(tokens) == 1 and not letters):
+        for t in tokens:
+            for i in range(1, len(t)):
+                out |= {("ask", "^" + t[:i]), ("ask", "$" + t[i:]), ("ask", "^" + t[: i - 1] + t[i])}
+    if len(tokens) > 1:
+        out |= {("answer", end + x) for x in [*tokens, *letters] for end in "^$"}
+    return out
+
+
+def finer_keys(form: str, suffix: str, key: str) -> set[str]:
+    """Keys of a third token for forms of three or more that share a suffix and the ``same`` key of a second."""
+    tokens = form.split("|")[0].split()
+    first = key.split("|", 1)[1]
+    out = set()
+    for i, j, k in permutations(range(len(tokens)), 3):
+        if suffix in suffixes(tokens[i]) and first in near(tokens[j]):
+            out |= {"|".join([str(len(tokens)), *sorted((first, x))]) for x in near(tokens[k])}
+    return out
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,10 +262,28 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[["kind", "id", "mail"]].assign(form=forms).dropna(subset=["form"])
 
 
-def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(k, r, f, s) for k, r, f in zip(b["kind"], b["rep"], b["form"]) for s in set().union(*map(suffixes, f.split("|")[0].split()))]
+        yield pd.DataFrame(rows, columns=["kind", "rep", "form", "suffix"])
+
+
+def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(k, r, f, s, *x) for k, r, f, s in zip(b["kind"], b["rep"], b["form"], b["suffix"]) for x in fine_keys(k, f, s)]
+        yield pd.DataFrame(rows, columns=["kind", "rep", "form", "suffix", "role", "key"])
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(k, r, f, "", *x) for k, r, f in zip(b["kind"], b["rep"], b["form"]) for x in joined_keys(k, f)]
+        yield pd.DataFrame(rows, columns=["kind", "rep", "form", "suffix", "role", "key"])
+
+
+def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(k, r, f, s, h, p) for k, r, f in zip(b["kind"], b["rep"], b["form"]) for s, h, p in block_keys(f)]
-        yield pd.DataFrame(rows, columns=["kind", "rep", "form", "suffix", "head", "head3"])
+        rows = [(k, r, f, s, x) for k, r, f, s, key in zip(b["kind"], b["rep"], b["form"], b["suffix"], b["key"]) for x in finer_keys(f, s, key)]
+        yield pd.DataFrame(rows, columns=["kind", "rep", "form", "suffix", "key"])
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,8 +302,8 @@ def variants(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
     Null and blank names, and names without a letter or digit, match nothing. Rows of equal names are one form; only distinct forms are blocked and
     compared, and all pairs of rows are expanded at the very end. Blocks are suffixes of tokens; those that more than BLOCK
-    forms share are refined by the first letter of another field of the name, then by its first three, and are
-    discarded only if they are still as common. Pairs are compared token by token by the ratio of their longest common
+    forms share are refined by what another token of a match has to share (it without one letter, its full names), if need be by two,
+    and by the first letter for forms with letters for given names. None is discarded. Pairs are compared token by token by the ratio of their longest common
     subsequence. A form with letters for given names joins a full one if all full ones that it fits have one given name,
     or else those that share its mail address. Matches are closed over chains, except for pairs whose middle letters clash.
     """
@@ -242,18 +311,26 @@ def variants(spark: SparkSession, rows: DataFrame) -> DataFrame:
     text = rows.select("kind", F.col("id").cast("bigint").alias("id"), "name", F.nullif(F.trim(F.lower("mail")), F.lit("")).alias("mail")).where("kind is not null and id is not null")
     forms = work.table(text.mapInPandas(_forms, "kind string, id bigint, mail string, form string"), "forms")
     reps = work.table(forms.groupBy("kind", "form").agg(F.min("id").alias("rep")), "reps")
-    keys = work.table(reps.mapInPandas(_keys, "kind string, rep bigint, form string, suffix string, head string, head3 string"), "keys")
-    levels = [["suffix"], ["suffix", "head"], ["suffix", "head3"]]
-    blocks, rest = [], keys
-    for by in levels:
-        sizes = rest.select("kind", *by, "rep").distinct().groupBy("kind", *by).agg(F.count(F.lit(1)).alias("size"))
-        fits = sizes.where(F.col("size").between(2, BLOCK)).select("kind", *by)
-        own = rest.join(fits, ["kind", *by], "left_semi").select("kind", F.concat_ws("|", *by).alias("key"), "rep", "form").distinct()
-        blocks.append(own)
-        rest = rest.join(sizes.where(F.col("size") > BLOCK).select("kind", *by), ["kind", *by], "left_semi")
-    block = work.table(reduce(DataFrame.unionByName, blocks), "blocks")
-    left, right = (block.select("kind", "key", F.col("rep").alias(c), F.col("form").alias(f"form_{c}")) for c in "ab")
-    pairs = left.join(right, ["kind", "key"]).where("a < b").select("kind", "a", "b", "form_a", "form_b").distinct()
+    keys = work.table(reps.mapInPandas(_suffixes, "kind string, rep bigint, form string, suffix string"), "keys")
+    sizes = work.table(keys.groupBy("kind", "suffix").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    coarse = keys.join(sizes.where(F.col("size") <= BLOCK), ["kind", "suffix"], "left_semi").select("kind", F.col("suffix").alias("key"), "rep", "form")
+    hot = keys.join(sizes.where(F.col("size") > BLOCK), ["kind", "suffix"], "left_semi").select("kind", "rep", "form", "suffix")
+    fine = work.table(hot.mapInPandas(_fine, "kind string, rep bigint, form string, suffix string, role string, key string"), "fine")
+    same = fine.where("role = 'same'").drop("role")
+    by = ["kind", "suffix", "key"]
+    wide = work.table(same.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).where((F.col("size") > BLOCK) & (F.split("key", r"\|")[0].cast("int") > 2)).select(*by), "wide")
+    finer = same.join(wide, by, "left_semi").select("kind", "rep", "form", "suffix", "key").mapInPandas(_finer, "kind string, rep bigint, form string, suffix string, key string").distinct()
+    whole = lambda df: df.select("kind", F.concat_ws("|", "suffix", "key").alias("key"), "rep", "form")
+    block = work.table(reduce(DataFrame.unionByName, [coarse, whole(same.join(wide, by, "left_anti")), whole(finer)]), "blocks")
+    side = lambda df, c: df.select("kind", "key", F.col("rep").alias(c), F.col("form").alias(f"form_{c}"))
+    cols = ["kind", "a", "b", "form_a", "form_b"]
+    pairs = side(block, "a").join(side(block, "b"), ["kind", "key"]).where("a < b").select(*cols)
+    links = fine.where("role <> 'same'").unionByName(work.table(reps.mapInPandas(_joined, fine.schema), "joined"))
+    asked = side(whole(links.where("role = 'ask'")), "a").join(side(whole(links.where("role = 'answer'")), "b"), ["kind", "key"])
+    # tokens run together make a shorter form
+    asked = asked.where("a <> b and (kind <> 'company' or length(form_a) - length(replace(form_a, ' ', '')) < length(form_b) - length(replace(form_b, ' ', '')))")
+    turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("form_a", "form_b"), ("form_b", "form_a"))]
+    pairs = pairs.unionByName(asked.select("kind", *turned)).distinct()
     found = work.table(pairs.mapInPandas(_compare, "kind string, a bigint, b bigint, sure int, short bigint, first string"), "found")
     weak = found.where("sure = 1")
     names = weak.groupBy("kind", "short").agg(F.min("first").alias("low"), F.max("first").alias("high"))

@@ -112,6 +112,22 @@ def test_variants_in_hot_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_no_hot_block_is_discarded(spark, monkeypatch):
+    """Slips in either name, initials, run-together and three-token forms of one surname that all forms share, with given names that begin alike."""
+    monkeypatch.setattr(names, "BLOCK", 4)
+    first = ["Thanh", "Thaddeus", "Thalia", "Thabiso", "Thandeka", "Tharindu", "Thaksin", "Tharaka"]
+    rows = [("person", i * 10 + k, n, None) for i, f in enumerate(first) for k, n in enumerate([f"{f} Rarokuzor", f"{f} Raroluzor", f"X{f[1:]} Rarokuzor"])]
+    rows += [("person", 200, "Quentin Rarokuzor", None), ("person", 201, "Q. Rarokuzor", None), ("person", 202, "Q. Rarokuzro", None), ("person", 203, "ThaliaRarokuzor", None)]
+    middle = ["Marvin", "Zephyr", "Lorenz", "Oscar", "Wilbur", "Gideon"]
+    rows += [("person", 300 + i * 10 + k, f"Thanh {w} Rarokuzor", None) for i, m in enumerate(middle) for k, w in enumerate([m, m[:-2] + m[-1]])]
+    rows += [("company", i * 10 + k, n, None) for i, f in enumerate(first) for k, n in enumerate([f"{f} Mora Technologies", f"{f}mora Technologies"])]
+    forms = {(k, i): (names.company_form if k == "company" else names.person_form)(n) for k, i, n, _ in rows}
+    same = lambda k, a, b: (names.same_company if k == "company" else names.same_person)(a, b)[0]
+    direct = {(k, i, j) for (k, i), a in forms.items() for (l, j), b in forms.items() if k == l and i < j and same(k, a, b)}
+    got = {(r.kind, r.a, r.b) for r in names.variants(spark, spark.createDataFrame(rows, "kind string, id bigint, name string, mail string")).collect()}
+    assert direct <= got and ("person", 200, 201) in direct and ("company", 0, 1) in direct and ("person", 20, 203) in direct
+
+
 @pytest.mark.parametrize("empty", [True])
 def test_variants_of_nothing(spark, empty):
     assert names.variants(spark, spark.createDataFrame([], "kind string, id bigint, name string, mail string")).count() == 0
