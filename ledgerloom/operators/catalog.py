@@ -71,6 +71,18 @@ def near_join(left: DataFrame, right: DataFrame, width: float = 0.001) -> DataFr
     return a.join(b, ["y", "x"]).where((F.abs(F.col("lat_a") - F.col("lat_b")) < width) & (F.abs(F.col("lon_a") - F.col("lon_b")) < width)).drop("y", "x")
 
 
+def nearest_entry(points: DataFrame, gazetteer: DataFrame, width: float) -> DataFrame:
+    """(id, near) of the points (id, lat, lon): the name of the entry (name, lat, lon) with the least sum of distances in both coordinates among those less than ``width`` apart in each.
+
+    Equal coordinates are joined once on both sides; of entries equally near the least name counts.
+    """
+    places = gazetteer.groupBy("lat", "lon").agg(F.min("name").alias("id"))
+    spots = points.select("lat", "lon").distinct().withColumn("id", F.lit(0))
+    dist = F.abs(F.col("lat_a") - F.col("lat_b")) + F.abs(F.col("lon_a") - F.col("lon_b"))
+    best = near_join(spots, places, width).groupBy("lat_a", "lon_a").agg(F.min(F.struct(dist.alias("dist"), F.col("id_b").alias("near"))).alias("best"))
+    return points.join(best, (points.lat == best.lat_a) & (points.lon == best.lon_a)).select("id", F.col("best.near").alias("near"))
+
+
 def top_per_group(rows: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group with their ``rank``; the window's group limit prunes before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import paths
 from ledgerloom.operators import feedback, rules
+from ledgerloom.operators.catalog import nearest_entry
 from ledgerloom.operators.rules import Rule
 from ledgerloom.plans.analytics import _KV, _LOG, _kv, _log
 from ledgerloom.plans.catalog import CTE, _PLACES, files, places
@@ -157,6 +158,13 @@ def fn_reverse_geocode(s, d):
     return pairs.groupBy(F.col("id_a").alias("id")).agg(F.min_by("name", dist).alias("near"))
 
 
+@query()
+def fn_reverse_geocode_all(s, d):
+    """fn_reverse_geocode with the whole table as gazetteer. Without SQL, whose join of all pairs is too slow; tested by brute force."""
+    p = places(s, d)
+    return nearest_entry(p, p, 3.0)
+
+
 @query("SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[:3], lambda x: trim(x)), lambda x: length(x) > 10 AND length(x) < 50)[1] AS phrase FROM documents")
 def fn_ocr_phrase(s, d):
     """The first of three lines with more than 10 and fewer than 50 characters."""

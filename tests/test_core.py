@@ -63,6 +63,20 @@ def test_near_join_finds_all_close_pairs(spark):
     assert got == {(a[0], b[0]) for a in pts for b in pts if abs(a[1] - b[1]) < 0.001 and abs(a[2] - b[2]) < 0.001}
 
 
+def test_nearest_entry_of_a_whole_gazetteer(spark):
+    """More than twenty entries, equal points, equal distances and points without an entry."""
+    import random
+
+    rnd = random.Random(9)
+    spot = lambda: (rnd.randrange(-40, 40) / 4, rnd.randrange(-40, 40) / 4)
+    gaz = [(i, f"g{i:03}", *spot()) for i in range(60)]
+    pts = [(i, *(spot() if i % 3 else gaz[i % 60][2:])) for i in range(150)] + [(150, 80.0, 80.0)]
+    far = lambda p, g: abs(p[1] - g[2]) + abs(p[2] - g[3])
+    want = {(p[0], min((far(p, g), g[1]) for g in near)[1]) for p in pts if (near := [g for g in gaz if abs(p[1] - g[2]) < 3 and abs(p[2] - g[3]) < 3])}
+    got = catalog.nearest_entry(spark.createDataFrame(pts, "id int, lat double, lon double"), spark.createDataFrame(gaz, "id int, name string, lat double, lon double"), 3.0)
+    assert set(rows(got)) == want and got.count() == len(want) < len(pts)
+
+
 def test_paging_and_names(spark):
     df = spark.createDataFrame([(i, "f", "a.txt" if i < 3 else f"b{i}") for i in range(9)], "id int, folder string, name string")
     assert [r.id for r in catalog.page(df, [F.desc("id")], 2, 4).collect()] == [4, 3, 2, 1]
