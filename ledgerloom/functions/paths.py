@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def basename(path: Column) -> Column:
@@ -59,6 +63,22 @@ def hidden_or_system(name: Column, path: Column, keep: list[str], names: list[st
 
 
 def tokens(name: Column) -> Column:
-    """Words of a file name: split at separators and at changes between letters and digits or cases, lower case, longer than one."""
-    words = F.flatten(F.transform(F.split(stem(name), r"[_\-\s.]+"), lambda w: F.regexp_extract_all(w, F.lit(r"[A-Z]?[a-z]+|[A-Z]+|\d+"), F.lit(0))))
+    """Words of a file name: split at separators and at changes between letters and digits or cases, lower case, longer than one.
+
+    The name is taken in its decomposed compatibility form, so a letter with an accent counts as the letter and a mark. Capitals before a
+    capitalised word are a word of their own; a part without any Latin letter or digit stays whole.
+    """
+    parts = F.split(decomposed(stem(name)), r"(?U)[_\-\s.]+")
+    found = lambda w: F.regexp_extract_all(w, F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|[^\p{L}\p{N}_]|\p{Nd}|$)|\p{Nd}+"), F.lit(0))
+    words = F.flatten(F.transform(parts, lambda w: F.when(F.size(found(w)) > 0, found(w)).otherwise(F.array(w))))
     return F.filter(F.transform(words, F.lower), lambda w: F.length(w) > 1)
+
+
+@F.pandas_udf(StringType())
+def _nfkd(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
+
+
+def decomposed(text: Column) -> Column:
+    """Decomposed compatibility form (NFKD); plain ASCII isn't sent to Python."""
+    return F.coalesce(_nfkd(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)

@@ -48,7 +48,7 @@ def exif_time(text: Column) -> Column:
 
 def title_label(text: Column) -> Column:
     """Words at ``_`` and ``/`` with a capital first letter, the rest as it is."""
-    return F.array_join(F.transform(F.split(text, "[_/]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), " ")
+    return F.array_join(F.transform(F.split(text, "[_/]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
 def html_escaped(text: Column) -> Column:

@@ -10,13 +10,20 @@ from pyspark.sql.window import Window as W
 
 from ledgerloom.operators.features import ranked
 
+#: A name without its last suffix, and that suffix.
+NAME = r"(?s)^(.+?)((?:\.[^.]*)?)$"
 
-def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the greatest in ``order`` (nulls least), then in all other columns; partial aggregation, no sort of a key's rows."""
-    rest = [c for c in rows.columns if c not in keys]
-    ranked = [F.col(c) for c in order] + [F.col(c) for c in rest if c not in order]
-    best = rows.groupBy(*keys).agg(F.max(F.struct(*ranked)).alias("_r"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in rows.columns])
+
+def latest(rows: DataFrame, keys: list[str], order: list[str], total: bool = True) -> DataFrame:
+    """One row per key: the greatest in ``order`` (nulls least), then, if ``total``, in all other columns.
+
+    Without ``total``, rows equal in the keys and in ``order`` have to be deliveries of one state; only the columns that a
+    query uses are then read, since column pruning and filters on the keys go through the window. Its limit of one row drops
+    older rows before the shuffle, so a key of any size is no burden to one task.
+    """
+    ranks = [*order, *([c for c in rows.columns if c not in keys and c not in order] if total else [])]
+    w = W.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in ranks])
+    return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], keep_old: list[str] = ()) -> DataFrame:
@@ -114,8 +121,26 @@ def with_fallback(rows: DataFrame, first: DataFrame, second: DataFrame, first_ke
 
 
 def numbered_names(spark: SparkSession, rows: DataFrame, folder: str, name: str, order: list[Column], out: str) -> DataFrame:
-    """``rows`` with names made unique within their folder as ``out``: the second of a name gets ``_1`` before its suffix, and so on."""
+    """``rows`` with names made unique within their folder as ``out``.
+
+    The first row of a name in ``order`` keeps it; the others get ``_1``, ``_2`` and so on before the suffix, where numbers whose names
+    stand in the folder already are passed over. The free numbers come from one more ranking: a taken number t that is the
+    i-th of its name stands before the (t - i + 1)-th row to be numbered, so a row's place among rows and taken numbers is its number.
+    """
     placed = ranked(spark, rows, order, "_place", 0, [folder, name])
-    n = F.col("_place")
-    new = F.regexp_replace(F.col(name), r"^(.+?)((?:\.[^.]*)?)$", F.concat(F.lit("$1_"), n.cast("string"), F.lit("$2")))
-    return placed.withColumn(out, F.when(n == 0, F.col(name)).otherwise(new)).drop("_place")
+    stem, suffix = (F.regexp_extract(name, NAME, i) for i in (1, 2))
+    used = placed.where("_place = 0").select(folder, stem.alias("_stem"), suffix.alias("_suffix"))
+    base, number = (F.regexp_extract("_stem", r"(?s)^(.+)_([1-9][0-9]{0,16})$", i) for i in (1, 2))
+    used = used.select(folder, F.concat(base, "_suffix").alias(name), number.try_cast("bigint").alias("_t")).where("_t is not null")
+    again = placed.where("_place = 1").select(folder, name)
+    same = lambda a, b: a[folder].eqNullSafe(b[folder]) & (a[name] == b[name])
+    taken = used.join(again, same(used, again), "left_semi")
+    taken = ranked(spark, taken, [F.col("_t")], "_i", 1, [folder, name]).select(folder, name, (F.col("_t") - F.col("_i") + 1).alias("_v"), F.lit(0).alias("_kind"))
+    hit = taken.select(folder, name).distinct()
+    later = placed.where("_place > 0")
+    meets = later.join(hit, same(later, hit), "left_semi").select(*[later[c] for c in placed.columns], F.col("_place").alias("_v"), F.lit(1).alias("_kind"))
+    moved = ranked(spark, meets.unionByName(taken, allowMissingColumns=True), [F.col("_v"), F.col("_kind")], "_number", 1, [folder, name]).where("_kind = 1")
+    rest = placed.join(hit, same(placed, hit), "left_anti").unionByName(placed.where("_place = 0").join(hit, same(placed, hit), "left_semi"))
+    both = rest.withColumn("_number", F.col("_place")).unionByName(moved.drop("_v", "_kind"))
+    new = F.concat(stem, F.lit("_"), F.col("_number").cast("string"), suffix)
+    return both.withColumn(out, F.when(F.col("_place") == 0, F.col(name)).otherwise(new)).drop("_place", "_number")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ledgerloom.functions import ids, paths, text
 from ledgerloom.operators import features, feedback, graph, kv, validation
 from ledgerloom.plans.catalog import CTE, files
-from ledgerloom.plans.scalars import _CASCADE_SQL, _EXT_SQL, NAMES, cascade, extension_class
+from ledgerloom.plans.scalars import _CASCADE_SQL, _EXT_SQL, NAMES, TOKENS_SQL, cascade, extension_class
 from ledgerloom.plans.tables import table
 
 QUERIES: dict = {}
@@ -26,8 +26,7 @@ def query(sql: str | None = None):
     return add
 
 
-_TOKENS_SQL = r"list_filter(list_transform(flatten(list_transform(regexp_split_to_array(regexp_replace(filename, '^(.+)\.[^.]+$', '\1'), '[_\-\s.]+'), lambda w: regexp_extract_all(w, '[A-Z]?[a-z]+|[A-Z]+|\d+'))), lambda w: lower(w)), lambda w: length(w) > 1)"
-_TOK = CTE + f", tok AS (SELECT id, schema_type, unnest({_TOKENS_SQL}) AS token FROM cur WHERE filename IS NOT NULL)\n"
+_TOK = CTE + f", tok AS (SELECT id, schema_type, unnest({TOKENS_SQL}) AS token FROM cur WHERE filename IS NOT NULL)\n"
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
@@ -52,7 +51,7 @@ def win_stratified_split(s, d):
     return features.stratified_split(s, files(s, d).select("id", "schema_type"), "schema_type", "id", 0.2, 42).select("id", "part")
 
 
-@query(CTE + f"SELECT id, length(filename) AS name_length, {_EXT_SQL} AS class, len({_TOKENS_SQL}) AS tokens, length(original_path) - length(replace(original_path, '/', '')) AS depth, image_width IS NOT NULL AS is_image, coalesce(extracted_text_length, 0) > 0 AS has_text FROM cur")
+@query(CTE + f"SELECT id, length(filename) AS name_length, {_EXT_SQL} AS class, len({TOKENS_SQL}) AS tokens, length(original_path) - length(replace(original_path, '/', '')) AS depth, image_width IS NOT NULL AS is_image, coalesce(extracted_text_length, 0) > 0 AS has_text FROM cur")
 def feat_extract(s, d):
     n = F.col("filename")
     return files(s, d).select("id", F.length(n).alias("name_length"), extension_class(F.col("file_extension")).alias("class"), F.when(n.isNotNull(), F.size(paths.tokens(n))).alias("tokens"), paths.depth(F.col("original_path")).alias("depth"), F.col("image_width").isNotNull().alias("is_image"), (F.coalesce("extracted_text_length", F.lit(0)) > 0).alias("has_text"))

@@ -25,8 +25,8 @@ def query(sql: str | None = None):
 
 
 def files(s: SparkSession, d: str) -> DataFrame:
-    """The current row of each file."""
-    return op.latest(table(s, d, "files"), ["id"], ["db_updated_at"]).withColumn("status", F.lower("status"))
+    """The current row of each file. Only the columns that a query uses are read; filters on the id reach the scan."""
+    return op.latest(table(s, d, "files"), ["id"], ["db_updated_at", "status", "modified_at", "file_size"], total=False).withColumn("status", F.lower("status"))
 
 
 def links(s: SparkSession, d: str) -> DataFrame:
@@ -44,8 +44,9 @@ link AS (SELECT regexp_replace(regexp_replace(lower(file_id), '^\s+|\s+$', '', '
 
 @query("SELECT id, filename, status FROM (" + CTE + " SELECT * FROM cur) WHERE id = (SELECT min(id) FROM files)")
 def flt_file_point(s, d):
-    first = table(s, d, "files").agg(F.min("id").alias("id"))
-    return files(s, d).join(F.broadcast(first), "id", "left_semi").select("id", "filename", "status")
+    """A lookup by key: the filter goes through to the scan."""
+    key = table(s, d, "files").agg(F.min("id")).first()[0]
+    return files(s, d).where(F.col("id") == key).select("id", "filename", "status")
 
 
 @query(CTE + "SELECT id, filename, status, organized_at FROM cur WHERE status = 'organized' AND lower(file_extension) = '.pdf' ORDER BY organized_at DESC NULLS LAST, id OFFSET 20 LIMIT 100")
@@ -142,9 +143,11 @@ def agg_category_breakdown(s, d):
     return table(s, d, "categories").select(F.col("id").alias("category_id"), "name").join(per, "category_id").groupBy("name").agg(F.sum("n").alias("files"))
 
 
-@query(SQL["agg_category_breakdown"])
+@query(CTE + "SELECT k.id, k.name, count(*) AS files, round(avg(l.confidence), 6) AS confidence FROM categories k JOIN link l ON l.category_id = k.id GROUP BY 1, 2")
 def jn_category_counts(s, d):
-    return agg_category_breakdown(s, d)
+    """Categories that have files, by id; links are aggregated before the join with the names."""
+    per = links(s, d).groupBy("category_id").agg(F.count(F.lit(1)).alias("files"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return table(s, d, "categories").join(per, F.col("id") == F.col("category_id")).select("id", "name", "files", "confidence")
 
 
 @query(CTE + "SELECT k.name, count(l.fid) AS files FROM categories k LEFT JOIN link l ON l.category_id = k.id GROUP BY 1 ORDER BY files DESC, name LIMIT 5")
@@ -249,9 +252,11 @@ def agg_session_ext(s, d):
     return op.top_per_group(n, ["session"], [F.desc("files"), F.col("ext")], 10)
 
 
-@query(SQL["agg_session_categories"])
+@query(CTE + "SELECT coalesce(schema_type, 'none') AS kind, id, file_size, row_number() OVER (PARTITION BY coalesce(schema_type, 'none') ORDER BY file_size DESC NULLS LAST, id) AS rank FROM cur QUALIFY rank <= 10")
 def win_topk_group(s, d):
-    return agg_session_categories(s, d)
+    """The ten largest files of each type: the window's group limit drops the rest before the shuffle."""
+    rows = files(s, d).select(F.coalesce("schema_type", F.lit("none")).alias("kind"), "id", "file_size")
+    return op.top_per_group(rows, ["kind"], [F.col("file_size").desc_nulls_last(), F.col("id")], 10)
 
 
 @query(CTE + f"SELECT {_SESSION} AS session, schema_type, count(*) AS files FROM cur WHERE schema_type IS NOT NULL AND {_SESSION} IS NOT NULL GROUP BY 1, 2")
@@ -312,7 +317,12 @@ def win_rank_share(s, d):
 
 @query(
     CTE
-    + r"SELECT id, CASE WHEN n = 0 THEN filename ELSE regexp_replace(filename, '^(.+?)((?:\.[^.]*)?)$', '\1_' || n || '\2') END AS new_name FROM (SELECT id, filename, row_number() OVER (PARTITION BY schema_type, filename ORDER BY id) - 1 AS n FROM cur WHERE filename IS NOT NULL AND trim(filename) <> '')"
+    + r""", named AS (SELECT id, schema_type AS t, filename AS f, regexp_extract(filename, '(?s)^(.+?)((?:\.[^.]*)?)$', 1) AS stem, regexp_extract(filename, '(?s)^(.+?)((?:\.[^.]*)?)$', 2) AS suffix,
+  row_number() OVER (PARTITION BY schema_type, filename ORDER BY id) - 1 AS n FROM cur WHERE filename IS NOT NULL AND trim(filename) <> ''),
+taken AS (SELECT t, regexp_extract(stem, '(?s)^(.+)_([1-9][0-9]{0,16})$', 1) || suffix AS f, try_cast(regexp_extract(stem, '(?s)^(.+)_([1-9][0-9]{0,16})$', 2) AS BIGINT) AS k FROM named WHERE n = 0),
+places AS (SELECT t, f, k - row_number() OVER (PARTITION BY t, f ORDER BY k) + 1 AS v, 0 AS kind, NULL AS id FROM taken WHERE k IS NOT NULL UNION ALL SELECT t, f, n, 1, id FROM named WHERE n > 0),
+numbers AS (SELECT id, row_number() OVER (PARTITION BY t, f ORDER BY v, kind) AS k, kind FROM places)
+SELECT n.id, CASE WHEN n.n = 0 THEN n.f ELSE n.stem || '_' || m.k || n.suffix END AS new_name FROM named n LEFT JOIN numbers m ON m.id = n.id AND m.kind = 1"""
 )
 def win_dedup_suffix(s, d):
     rows = files(s, d).where("filename is not null and trim(filename) <> ''")

@@ -9,7 +9,7 @@ from ledgerloom.operators import catalog as op
 from ledgerloom.operators import feedback
 from ledgerloom.plans.analytics import _LOG, _log, jsonld
 from ledgerloom.plans.catalog import CTE, files, links
-from ledgerloom.plans.scalars import _EXT_SQL, extension_class
+from ledgerloom.plans.scalars import _EXT_SQL, TOKENS_SQL, extension_class
 from ledgerloom.plans.tables import table
 
 QUERIES: dict = {}
@@ -197,10 +197,9 @@ def cls_media(s, d):
 
 
 _GAME = ["sprite", "tile", "frame", "texture", "shader"]
-_TOK = r"list_filter(list_transform(flatten(list_transform(regexp_split_to_array(regexp_replace(filename, '^(.+)\.[^.]+$', '\1'), '[_\-\s.]+'), lambda w: regexp_extract_all(w, '[A-Z]?[a-z]+|[A-Z]+|\d+'))), lambda w: lower(w)), lambda w: length(w) > 1)"
 
 
-@query(CTE + f", t AS (SELECT id, {_TOK} AS t FROM cur WHERE filename IS NOT NULL) SELECT id, round(CASE WHEN len(t) = 0 THEN 0 ELSE least(1, least(len(list_filter(t, lambda w: w IN ('sprite', 'tile', 'frame', 'texture', 'shader'))) / len(t) * 1.5, 1) + CASE WHEN regexp_matches(t[-1], '^[0-9]+$') THEN 0.1 ELSE 0 END) END, 6) AS score FROM t")
+@query(CTE + f", t AS (SELECT id, {TOKENS_SQL} AS t FROM cur WHERE filename IS NOT NULL) SELECT id, round(CASE WHEN len(t) = 0 THEN 0 ELSE least(1, least(len(list_filter(t, lambda w: w IN ('sprite', 'tile', 'frame', 'texture', 'shader'))) / len(t) * 1.5, 1) + CASE WHEN regexp_matches(t[-1], '^[0-9]+$') THEN 0.1 ELSE 0 END) END, 6) AS score FROM t")
 def cls_game_score(s, d):
     """A share of telling words with a bonus for a number at the end, at most 1."""
     t = paths.tokens(F.col("filename"))

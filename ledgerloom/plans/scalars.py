@@ -81,7 +81,11 @@ def fn_schema_type(s, d):
     return files(s, d).select("id", text.first_match(rules, F.lit("DigitalDocument")).alias("kind"))
 
 
-@query(CTE + r"SELECT id, array_to_string(list_filter(list_transform(flatten(list_transform(regexp_split_to_array(regexp_replace(filename, '^(.+)\.[^.]+$', '\1'), '[_\-\s.]+'), lambda w: regexp_extract_all(w, '[A-Z]?[a-z]+|[A-Z]+|\d+'))), lambda w: lower(w)), lambda w: length(w) > 1), ' ') AS tokens FROM cur WHERE filename IS NOT NULL")
+#: The words of a file name: letters with accents as letter and mark, capitals before a capitalised word apart.
+TOKENS_SQL = r"list_filter(list_transform(flatten(list_transform(regexp_split_to_array(array_to_string(list_transform(string_split(regexp_replace(filename, '^(.+)\.[^.]+$', '\1'), ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || chr(769) ELSE c END), ''), '[_\-\s.]+'), lambda w: CASE WHEN regexp_matches(w, '[A-Za-z0-9]') THEN regexp_extract_all(regexp_replace(w, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') ELSE [w] END)), lambda w: lower(w)), lambda w: length(w) > 1)"
+
+
+@query(CTE + f"SELECT id, array_to_string({TOKENS_SQL}, ' ') AS tokens FROM cur WHERE filename IS NOT NULL")
 def fn_tokenize(s, d):
     return files(s, d).where("filename is not null").select("id", F.array_join(paths.tokens(F.col("filename")), " ").alias("tokens"))
 
@@ -168,7 +172,7 @@ def fn_dms_to_deg(s, d):
 
 @query(CTE + "SELECT id, upper(status[1]) || status[2:] AS one, array_to_string(list_transform(string_split(status, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM cur WHERE status IS NOT NULL")
 def fn_title_label(s, d):
-    return files(s, d).where("status is not null").select("id", F.initcap(F.regexp_extract("status", "^[a-z]+", 0)).alias("x"), F.concat(F.upper(F.substring("status", 1, 1)), F.substring("status", 2, 99)).alias("one"), text.title_label(F.col("status")).alias("label")).drop("x")
+    return files(s, d).where("status is not null").select("id", F.concat(F.upper(F.substring("status", 1, 1)), F.substring("status", F.lit(2), F.length("status"))).alias("one"), text.title_label(F.col("status")).alias("label"))
 
 
 _REQ, _REC = ["filename", "mime_type", "content_hash"], ["image_width", "has_faces"]

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -43,14 +44,51 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[sc.applicationId]
 
 
+def empty(spark: SparkSession, schema: str | StructType) -> DataFrame:
+    """No rows, as a plan that the optimizer folds away."""
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).where(F.lit(False))
+
+
+#: The work folders that this process made, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all work folders of this application, once no result that was built on them is read any more."""
+    for root in _MADE.pop(spark.sparkContext.applicationId, []):
+        delete(spark, root)
+
+
 class Workspace:
-    """Written tables that cut the lineage of iterative plans and outlive lost executors."""
+    """Written tables that cut the lineage of iterative plans and outlive lost executors.
+
+    As a context manager it removes its folder at the end, so results have to be read or written within it; else ``close`` it, or
+    ``clean_up`` the application's folders, when the results have been read.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.root)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        delete(self.spark, self.root)
+        made = _MADE.get(self.spark.sparkContext.applicationId, [])
+        if self.root in made:
+            made.remove(self.root)
 
     def write(self, df: DataFrame, label: str = "t", **metrics) -> tuple[DataFrame, dict]:
         """Write ``df`` and read it back; ``metrics`` are aggregates observed while it is written."""
@@ -60,18 +98,25 @@ class Workspace:
         exprs = [v.alias(k) for k, v in metrics.items()] or [F.count(F.lit(1)).alias("rows")]
         df.observe(seen, *exprs).write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
         back._workspace_path = path
         return back, {k: seen.get[k] for k in (metrics or {"rows": None})}
 
+    def split(self, df: DataFrame, part: Column, count: int, label: str = "t") -> list[tuple[DataFrame, int]]:
+        """``df`` written once by the number ``part`` (0 to ``count`` - 1), and each part with its number of rows."""
+        path = f"{self.root}/{self._n:04d}-{label}"
+        self._n += 1
+        seen = Observation()
+        split = df.withColumn("_part", part)
+        split.observe(seen, *[F.count_if(F.col("_part") == i).alias(f"n{i}") for i in range(count)]).write.mode("overwrite").partitionBy("_part").parquet(path)
+        rows = [seen.get[f"n{i}"] for i in range(count)]
+        return [(self.spark.read.schema(df.schema).parquet(f"{path}/_part={i}") if n else empty(self.spark, df.schema), n) for i, n in enumerate(rows)]
+
     def table(self, df: DataFrame, label: str = "t") -> DataFrame:
         return self.write(df, label)[0]
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Remove written tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
             path = getattr(t, "_workspace_path", None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                delete(self.spark, path)

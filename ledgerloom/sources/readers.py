@@ -25,8 +25,8 @@ def images(files: DataFrame, extensions: tuple[str, ...] = ("png", "jpg", "jpeg"
     return files.where(F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)).isin(*extensions))
 
 
-def texts(spark: SparkSession, folder: str, glob: str = "*.txt", most: int | None = 50_000) -> DataFrame:
-    """path and text of text files; bytes that are no UTF-8 become replacement characters; ``most`` characters if given."""
+def texts(spark: SparkSession, folder: str, glob: str = "*.txt", most: int | None = None) -> DataFrame:
+    """path and text of text files; bytes that are no UTF-8 become replacement characters; ``most`` first characters if given, else the whole text."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     text = F.decode("content", "UTF-8") if most is None else F.substring(F.decode("content", "UTF-8"), 1, most)
     return f.select("path", text.alias("text"))
