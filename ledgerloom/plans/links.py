@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.hierarchy import Hierarchy, hierarchy
-from ledgerloom.operators.orphans import OrphanState, OrphanTracker, clean_key
+from ledgerloom.operators.orphans import OrphanState, OrphanTracker
 from ledgerloom.plans.tables import table
 
 #: The tracker takes the history in batches of a year.
@@ -17,52 +17,46 @@ CUTS = [datetime(y, 1, 1) for y in range(2022, 2027)]
 PARENTS = ["files", "categories", "organization_sessions"]
 
 
-def _file_key(c: Column) -> Column:
-    return F.nullif(F.regexp_replace(clean_key(c), "^urn:sha256:", ""), F.lit(""))
+#: A key without case and outer white space, blank as null; of a file also without what the URN begins with.
+_KEY = r"nullif(regexp_replace(lower({}), r'^[\s ]+|[\s ]+$', ''), '')"
+_FILE_KEY = "nullif(regexp_replace(" + _KEY + ", '^urn:sha256:', ''), '')"
 
 
-def references(spark: SparkSession, d: str) -> DataFrame:
+def references(links: DataFrame, files: DataFrame) -> DataFrame:
     """The three references: ref_field, parent, child, ref_key, key, at."""
-    links, files = table(spark, d, "file_categories"), table(spark, d, "files")
-    ref = lambda df, field, parent, child, value, key, at: df.select(
-        F.lit(field).alias("ref_field"), F.lit(parent).alias("parent"), F.col(child).alias("child"), F.col(value).cast("string").alias("ref_key"), key.alias("key"), F.col(at).alias("at")
+    ref = lambda df, field, parent, child, value, key, at: df.selectExpr(
+        f"'{field}' as ref_field", f"'{parent}' as parent", f"{child} as child", f"cast({value} as string) as ref_key", f"{key} as key", f"{at} as at"
     )
     return reduce(
         DataFrame.unionByName,
         [
-            ref(links, "file_categories.file_id", "files", "file_id", "file_id", _file_key(F.col("file_id")), "created_at"),
-            ref(links, "file_categories.category_id", "categories", "file_id", "category_id", F.col("category_id").cast("string"), "created_at"),
-            ref(files, "files.session_id", "organization_sessions", "id", "session_id", clean_key(F.col("session_id")), "db_created_at"),
+            ref(links, "file_categories.file_id", "files", "file_id", "file_id", _FILE_KEY.format("file_id"), "created_at"),
+            ref(links, "file_categories.category_id", "categories", "file_id", "category_id", "cast(category_id as string)", "created_at"),
+            ref(files, "files.session_id", "organization_sessions", "id", "session_id", _KEY.format("session_id"), "db_created_at"),
         ],
     ).where("key is not null")
 
 
-def arrivals(spark: SparkSession, d: str) -> DataFrame:
-    """The rows that references can point at: parent, key, at."""
-    own = lambda t, key, at: table(spark, d, t).select(F.lit(t).alias("parent"), key.alias("key"), F.col(at).alias("at"))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            own("files", _file_key(F.col("id")), "db_created_at"),
-            own("categories", F.col("id").cast("string"), "created_at"),
-            own("organization_sessions", clean_key(F.col("id")), "started_at"),
-        ],
-    )
+def _came(df: DataFrame, parent: str, key: str, at: str) -> DataFrame:
+    return df.selectExpr(f"'{parent}' as parent", f"{key} as key", f"{at} as at")
 
 
-def _between(low: datetime | None, high: datetime | None) -> Column:
-    """Rows of a batch; the last one also takes those without a time."""
-    at, ts = F.col("at"), lambda x: F.lit(x).cast("timestamp_ntz")
-    c = F.lit(True) if low is None else at >= ts(low)
-    return (c | at.isNull()) if high is None else c & (at < ts(high))
+def _batch(at: str) -> Column:
+    """The number of a row's batch; the last one also takes rows without a time."""
+    return F.expr("case " + " ".join(f"when {at} < timestamp_ntz'{c}' then {i}" for i, c in enumerate(CUTS)) + f" else {len(CUTS)} end")
 
 
-def orphan_states(spark: SparkSession, d: str):
-    """The tracker's state after each batch, with the batch's end."""
-    tracker, refs, came = OrphanTracker(spark, PARENTS), references(spark, d), arrivals(spark, d)
-    for low, high in zip([None, *CUTS], [*CUTS, None]):
-        within = _between(low, high)
-        yield high, tracker.advance(refs.where(within), came.where(within))
+def orphan_states(spark: SparkSession, d: str, deleted: DataFrame | None = None):
+    """The tracker's state after each batch, with the batch's end. Each table is read once and written by batch; ``deleted``: parent, key, at."""
+    tracker, n = OrphanTracker(spark, PARENTS, deletions=deleted is not None), len(CUTS) + 1
+    links = tracker.work.split(table(spark, d, "file_categories").select("file_id", "category_id", "created_at"), _batch("created_at"), n, "links")
+    files = tracker.work.split(table(spark, d, "files").select("id", "session_id", "db_created_at"), _batch("db_created_at"), n, "files")
+    cats = _came(table(spark, d, "categories"), "categories", "cast(id as string)", "created_at")
+    small = cats.unionByName(_came(table(spark, d, "organization_sessions"), "organization_sessions", _KEY.format("id"), "started_at"))
+    for i, high in enumerate([*CUTS, None]):
+        (l, l_rows), (f, f_rows) = links[i], files[i]
+        came = _came(f, "files", _FILE_KEY.format("id"), "db_created_at").unionByName(small.where(_batch("at") == i))
+        yield high, tracker.advance(references(l, f), came, None if deleted is None else deleted.where(_batch("at") == i), refs_rows=max(l_rows, f_rows))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +83,14 @@ def p1_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, snaps).groupBy("snapshot", "ref_field").agg(F.count(F.lit(1)).alias("waiting"))
 
 
+def p1_reopened(spark: SparkSession, d: str) -> DataFrame:
+    """References that wait at the end of each batch, by reason, where a category is deleted when it was merged away (at its ``updated_at``)."""
+    gone = table(spark, d, "categories").where("merged_into_id is not null and updated_at is not null")
+    gone = gone.select(F.lit("categories").alias("parent"), F.col("id").cast("string").alias("key"), F.col("updated_at").alias("at"))
+    snaps = [s.waiting.select("ref_field", "reason", F.lit(high.isoformat()[:10] if high else "end").alias("snapshot")) for high, s in orphan_states(spark, d, gone)]
+    return reduce(DataFrame.unionByName, snaps).groupBy("snapshot", "ref_field", "reason").agg(F.count(F.lit(1)).alias("waiting"))
+
+
 _ORPHANS_SQL = """
 WITH links AS (SELECT * FROM file_categories),
 refs AS (
@@ -118,6 +120,18 @@ P1_SQL = {
     + "SELECT snapshot, ref_field, count(*) AS waiting FROM orphans, cuts WHERE (high IS NULL AND resolved_at IS NULL) OR (seen < high AND (resolved_at IS NULL OR resolved_at >= high)) GROUP BY 1, 2",
 }
 
+_BATCH_SQL = "coalesce(least(greatest(year({}), 2021), 2026), 2026)"
+P1_SQL["p1_reopened"] = (
+    _ORPHANS_SQL
+    + ", gone AS (SELECT 'categories' AS parent, id::VARCHAR AS key, updated_at AS at FROM categories WHERE merged_into_id IS NOT NULL AND updated_at IS NOT NULL), cuts AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{c:%Y-%m-%d}', TIMESTAMP '{c:%Y-%m-%d}')" for c in CUTS)
+    + ", ('end', TIMESTAMP '9999-01-01')) t(snapshot, high)),\n"
+    + "state AS (SELECT snapshot, ref_field, CASE WHEN i.key IS NULL OR i.since >= high THEN 'missing' WHEN g.at < high THEN "
+    + f"CASE WHEN {_BATCH_SQL.format('r.seen')} < {_BATCH_SQL.format('i.since')} AND {_BATCH_SQL.format('i.since')} = {_BATCH_SQL.format('g.at')} THEN 'missing' ELSE 'deleted' END END AS reason\n"
+    + "  FROM (SELECT * FROM refs WHERE key IS NOT NULL) r LEFT JOIN idx i USING (parent, key) LEFT JOIN gone g USING (parent, key), cuts WHERE coalesce(r.seen < high, snapshot = 'end'))\n"
+    + "SELECT snapshot, ref_field, reason, count(*) AS waiting FROM state WHERE reason IS NOT NULL GROUP BY 1, 2, 3"
+)
+
 
 def merge_hierarchy(spark: SparkSession, d: str, paths: bool = False) -> Hierarchy:
     rows = lambda t, kind: table(spark, d, t).select(F.lit(kind).alias("kind"), "id", F.col("merged_into_id").alias("parent"))
@@ -179,5 +193,5 @@ P2_SQL = {
     "p2_loops": _LINKS_SQL + "SELECT DISTINCT kind AS entity_type, root AS loop_id, unnest(ring) AS node_id FROM ends WHERE in_loop",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_snapshots, p2_found, p2_paths, p2_below, p2_loops)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_snapshots, p1_reopened, p2_found, p2_paths, p2_below, p2_loops)}
 SQL = P1_SQL | P2_SQL

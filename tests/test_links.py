@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators.hierarchy import hierarchy
 from ledgerloom.operators.orphans import ARRIVALS, REFS, OrphanTracker
@@ -108,3 +109,49 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
     right = spark.createDataFrame([(k, f"r{k}") for k in range(1, 7)], "k int, r string")
     got = rows(joins.lookup_join(left, right, ["k"], "left", left_rows=58).selectExpr("v", "coalesce(k, -1)", "coalesce(r, '')"))
     assert got == rows(left.join(right, "k", "left").selectExpr("v", "coalesce(k, -1)", "coalesce(r, '')"))
+
+
+def test_deletion_reopens_from_state(spark):
+    t = OrphanTracker(spark, ["p"], deletions=True)
+    came = lambda key, at: spark.createDataFrame([("p", key, at)], ARRIVALS)
+    t.advance(spark.createDataFrame([ref("a", "x", day(1)), ref("b", "y", day(1)), ref("b", "y", day(1)), ref("n", None, day(1))], REFS), came("y", day(0)))
+    t.advance(None, came("x", day(3)))
+    s = t.advance(None, None, spark.createDataFrame([("p", "y", day(5)), ("p", "x", day(5)), ("p", "z", day(5))], ARRIVALS))
+    assert sorted((r.child, r.reason) for r in s.waiting.collect()) == [("a", "deleted"), ("b", "deleted")]
+    s = t.advance(spark.createDataFrame([ref("c", "y", day(6))], REFS), came("x", day(7)))
+    assert sorted((r.child, r.reason) for r in s.waiting.collect()) == [("b", "deleted"), ("c", "deleted")]
+    s = t.advance(None, came("y", day(8)), spark.createDataFrame([("p", "x", day(9))], ARRIVALS))
+    assert sorted((r.child, r.reason) for r in s.waiting.collect()) == [("a", "deleted")]
+
+
+def test_many_batches_merge_the_index(spark, monkeypatch):
+    from ledgerloom.operators import orphans
+
+    monkeypatch.setattr(orphans, "COMPACT", 2)
+    t = OrphanTracker(spark, ["p"])
+    for i in range(5):
+        s = t.advance(spark.createDataFrame([ref(f"c{i}", f"k{i - 1}", day(i))], REFS), spark.createDataFrame([("p", f"k{i}", day(i))], ARRIVALS))
+        assert len(s.index) <= 2
+    assert cases(s) == {("c0", "k-1")}
+
+
+def test_paths_do_not_go_round_loops(spark):
+    parent = {i: i ^ 1 for i in range(400)} | {1000 + i: 1000 + (i + 1) % 7 for i in range(7)} | {2000: 1003, 2001: 2000, 3000: 3000, 3001: 3000}
+    h = hierarchy(spark, spark.createDataFrame([("k", a, b) for a, b in parent.items()], "kind string, id bigint, parent bigint"), paths=True)
+    assert {r.id: (r.root, r.depth, r.in_loop, list(r.path)) for r in h.nodes.collect()} == brute(parent)
+
+
+def test_work_folders_are_removed(spark, tmp_path):
+    import os
+
+    from ledgerloom.session import Workspace, clean_up
+
+    with Workspace(spark, "w") as w:
+        w.table(spark.range(3))
+        assert os.path.isdir(w.root)
+    assert not os.path.isdir(w.root)
+    kept = Workspace(spark, "k")
+    parts = kept.split(spark.range(10), F.col("id") % 3, 4)
+    assert [n for _, n in parts] == [4, 3, 3, 0] and rows(parts[1][0]) == [(1,), (4,), (7,)]
+    clean_up(spark)
+    assert not os.path.isdir(kept.root)
