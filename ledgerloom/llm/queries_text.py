@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.cuts import cut_documents
-from ledgerloom.llm.leaks import leaked
+from ledgerloom.llm.leaks import cleaned, leaked
 from ledgerloom.llm.mixing import mix
 from ledgerloom.plans.tables import table
 
@@ -24,6 +24,11 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max("coverage"), 4).alias("coverage"))
 
 
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold passages of test items, without them: text, number of spans and of characters removed."""
+    return cleaned(spark, table(spark, d, "documents"), _passages(spark, d))
+
+
 def _source(c: str = "source") -> F.Column:
     return F.nullif(F.replace(F.trim(F.lower(c)), F.lit("-"), F.lit("_")), F.lit(""))
 
@@ -59,5 +64,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("source", "documents", "cut", "at_limit", F.round(F.col("cut") / F.col("documents"), 4).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_items, p8_mix, p8_sources, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_items, p7_cleaned, p8_mix, p8_sources, p9_found, p9_rates)}
 SQL: dict[str, str] = {}

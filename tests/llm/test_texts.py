@@ -19,25 +19,66 @@ def filler(n):
     return " ".join(rnd.choice(VOC) for _ in range(n))
 
 
-def test_automaton_gives_longest_matches():
-    items = {1: list("abcabcd"), 2: list("xabcy"), 3: list("bcdbcd")}
-    auto = leaks.Automaton(items)
-    doc = list("zzabcdqxabcabcyy")
-    got = {(k, at, pos, n) for k, at, pos, n in auto.matches(doc)}
-
-    def at_end(i):  # longest string ending before i that stands in some item
-        for n in range(i, 0, -1):
-            hits = [(k, p) for k, s in items.items() for p in range(len(s) - n + 1) if s[p : p + n] == doc[i - n : i]]
-            if hits:
-                return n, hits
-        return 0, []
-
-    want = set()
-    for i in range(1, len(doc) + 1):
-        n, hits = at_end(i)
-        if n >= leaks.SEED and (i == len(doc) or at_end(i + 1)[0] != n + 1):
-            want |= {(k, i - n, p, n) for k, p in hits}
-    assert got == want
+def maximal(items, doc):
+    """Brute force per item: matches of SEED or more words that can't go on to either side."""
+    out = set()
+    for k, s in items.items():
+        for i in range(len(doc)):
+            for p in range(len(s)):
+                if doc[i] == s[p] and (not i or not p or doc[i - 1] != s[p - 1]):
+                    n = 0
+                    while i + n < len(doc) and p + n < len(s) and doc[i + n] == s[p + n]:
+                        n += 1
+                    if n >= leaks.SEED:
+                        out.add((k, i, p, n))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_automaton_gives_the_longest_matches_of_every_item(seed):
+    r = random.Random(seed)
+    items = {k: [r.choice("abcd" if seed % 2 else "ab") for _ in range(r.randrange(1, 25))] for k in range(1, 6)}
+    doc = [r.choice("abcdz") for _ in range(80)]
+    got = list(leaks.Automaton(items).matches(doc))
+    assert set(got) == maximal(items, doc) and len(got) == len(set(got))
+
+
+def test_an_item_inside_another_leaks_too(spark):
+    own = [rnd.choice(VOC) for _ in range(70)]
+    other = [rnd.choice(VOC) for _ in range(20)] + own[20:50] + [rnd.choice(VOC) for _ in range(20)]
+    items = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(other)), (3, " ".join(own[60:])), (4, filler(40))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"{filler(30)} {' '.join(own)} {filler(30)}"), (2, f"{filler(10)} {' '.join(other)}"), (3, filler(100))], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.words for r in leaks.leaked(spark, docs, items).collect()}
+    assert got == {(1, 1): 70, (1, 2): 30, (2, 1): 30, (2, 2): 70}
+
+
+@pytest.mark.parametrize("n", [40, 160, 640])
+def test_recall_and_precision_on_planted_passages(n):
+    r = random.Random(n)
+    voc = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randrange(2, 5))) for _ in range(800)]
+    items = {k: [r.choice(voc) for _ in range(r.randrange(30, 90))] for k in range(40)}
+    auto, found, true, hit = leaks.Automaton(items), 0, 0, 0
+    for d in range(n):
+        k = r.randrange(40)
+        size = r.choice([8, 16, 20, 30])  # with two changes 16 words still hold 12 in a passage; 8 never do
+        a = r.randrange(len(items[k]) - size + 1)
+        part = items[k][a : a + size]
+        for x in r.sample(range(size), r.choice([0, 0, 1, 2])):
+            part[x] = part[x][:-1] + "q" if r.random() < 0.5 and len(part[x]) > 4 else r.choice(voc)
+        got = set(leaks.passages(auto, [*r.choices(voc, k=50), *part, *r.choices(voc, k=50)]))
+        want = {k} if size > 8 else set()
+        found, true, hit = found + len(got), true + len(want), hit + len(got & want)
+    print(f"{n} documents: recall {hit / true:.4f}, precision {hit / max(1, found):.4f}")
+    assert hit >= 0.97 * true and hit >= 0.99 * found
+
+
+def test_texts_without_their_leaks(spark):
+    part = " ".join(ITEM[5:25])
+    docs = spark.createDataFrame([(1, f"Before it. {part}. After it, {part}!"), (2, "nothing here"), (3, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(70, " ".join(ITEM)), (71, " ".join(ITEM[10:30]))], "item_id bigint, text string")
+    got = leaks.cleaned(spark, docs, leaks.leaked(spark, docs, items)).collect()
+    assert [(r.doc_id, r.text) for r in got] == [(1, "Before it. . After it, !")] and got[0].removed_chars == 2 * len(part)
+    assert leaks.cleaned(spark, docs, leaks.leaked(spark, docs, items), 500, 1.5).count() == 0
 
 
 def test_leaks(spark):
