@@ -57,39 +57,50 @@ def _micros(c: str) -> F.Column:
 MAIL = r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"
 
 
-def person_fields() -> list[Field]:
+def person_fields(fixed: bool) -> list[Field]:
+    """The fields of a person. The rule of TESTDATA.md ranks addresses and times by ``last_seen`` and counts by size; with ``fixed`` its ties go to the smaller id, else to the votes."""
     email = F.regexp_replace("email", r"^[\s ]+|[\s ]+$", "")
+    seen = F.when(_good("last_seen"), _micros("last_seen"))
+    order = lambda c: (c, -F.col("id")) if fixed else c
     plain = lambda c: Field(c, F.nullif(F.trim(F.lower(c)), F.lit("")), F.trim(c) != "")
-    return [
-        Field("email", email, email.rlike(MAIL), F.when(_good("last_seen"), _micros("last_seen"))),
-        Field("last_seen", F.col("last_seen"), _good("last_seen"), _micros("last_seen")),
-        Field("file_count", F.col("file_count"), F.col("file_count") >= 0, F.col("file_count")),
-        plain("name"),
-        plain("role"),
+    ruled = [
+        Field("email", email, email.rlike(MAIL), order(seen)),
+        Field("last_seen", F.col("last_seen"), _good("last_seen"), order(seen)),
+        Field("file_count", F.col("file_count"), F.col("file_count") >= 0, order(F.col("file_count"))),
     ]
+    voted = [Field("mail_voted", F.lower(email), email.rlike(MAIL)), Field("count_voted", F.col("file_count"), F.col("file_count") >= 0)]
+    return [*ruled, *([] if fixed else voted), plain("name"), plain("role")]
 
 
-def _survivors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def person_sources() -> F.Column:
+    """Where a row came from: the records of its ``source_ids``, or, if it names none, its role."""
+    ids = F.filter(F.from_json("source_ids", "array<string>"), lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(ids) > 0, F.transform(ids, lambda x: F.concat(F.lit("record "), x))).otherwise(F.array(F.concat(F.lit("role "), F.coalesce(F.trim(F.lower("role")), F.lit("")))))
+
+
+def _survivors(spark: SparkSession, d: str, fixed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The groups of two or more rows with the winning claims of each field, and the reliability of each source."""
     people = table(spark, d, "people")
     groups = people.where("canonical_id is not null").groupBy("canonical_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    best, weights = discover(spark, people.join(groups, "canonical_id", "left_semi"), F.col("canonical_id"), F.col("id"), F.trim(F.lower("role")), person_fields())
-    wide = best.groupBy("grp").pivot("field", [f.name for f in person_fields()]).agg(F.first("row_id").alias("id"), F.first("value").alias("value"), F.first("support").alias("support"))
+    fields = person_fields(fixed)
+    best, weights = discover(spark, people.join(groups, "canonical_id", "left_semi"), F.col("canonical_id"), F.col("id"), person_sources(), fields)
+    wide = best.groupBy("grp").pivot("field", [f.name for f in fields]).agg(F.first("row_id").alias("id"), F.first("value").alias("value"), F.first("support").alias("support"))
     return groups.join(wide, groups.canonical_id == wide.grp, "left"), weights
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda f, name: F.coalesce(f"{f}_id", F.lit(0).cast("long")).alias(name)
-    return _survivors(spark, d)[0].select("canonical_id", pick("email", "email_id"), pick("last_seen", "seen_id"), pick("file_count", "count_id"))
+    return _survivors(spark, d, fixed=True)[0].select("canonical_id", pick("email", "email_id"), pick("last_seen", "seen_id"), pick("file_count", "count_id"))
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    """One built record per group, with the support of each value."""
-    cols = [c for f in person_fields() for c in (F.col(f"{f.name}_value").alias(f.name), F.round(f"{f.name}_support", 3).alias(f"{f.name}_support"))]
+    """One built record per group, with the support of each value; ``mail_voted`` and ``count_voted`` are what votes alone choose."""
+    cols = [c for f in person_fields(False) for c in (F.col(f"{f.name}_value").alias(f.name), F.round(f"{f.name}_support", 3).alias(f"{f.name}_support"))]
     return _survivors(spark, d)[0].select("canonical_id", "rows", *cols)
 
 
 def p5_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The reliability of each source."""
     return _survivors(spark, d)[1].select(F.col("src").alias("source"), F.round("weight", 3).alias("weight"))
 
 
@@ -113,7 +124,7 @@ def _filename_terms(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
 
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     """For each word its occurrences, its files and whether it is too rare or too common."""
-    return marked(*_filename_terms(spark, d)).select("term", "occurrences", "records", F.try_element_at("marks", F.lit(1)).alias("mark"))
+    return marked(*_filename_terms(spark, d)).select("term", "occurrences", "records", F.array_join("marks", "+").alias("marks"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +144,6 @@ SQL = {
     "p3_found": _PAIRS_SQL + "SELECT * FROM found",
     "p3_sizes": _PAIRS_SQL + "SELECT entity_type, size, count(*) AS groups FROM (SELECT entity_type, group_id, count(*) AS size FROM found GROUP BY 1, 2) GROUP BY 1, 2",
     "p5_found": _P5_SQL,
-    "p6_terms": _TERMS_SQL + "SELECT term, occurrences, records, coalesce(rare, common) AS mark FROM marks",
+    "p6_terms": _TERMS_SQL + "SELECT term, occurrences, records, concat_ws('+', rare, common) AS marks FROM marks",
     "p6_found": _TERMS_SQL + "SELECT rare AS mark, term FROM marks WHERE rare IS NOT NULL UNION ALL SELECT common, term FROM marks WHERE common IS NOT NULL",
 }

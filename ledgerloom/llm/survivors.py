@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.prefix import prefix_sums
 from ledgerloom.operators.joins import lookup_join
 from ledgerloom.session import Workspace
 
@@ -17,86 +16,63 @@ from ledgerloom.session import Workspace
 class Field:
     """A field whose value is to be found.
 
-    ``usable``: whether the row's value can be true at all. ``order``: null for fields where a claim supports only its own
-    value; else a long, and a claim supports every value of the same or a higher order: having been seen at a time does not
-    contradict a later time, nor a count a larger one, nor an address one that is known from a later time.
+    ``usable``: whether the row's value can be true at all. ``order``: whole numbers that rank a row's value before any vote; only
+    values of the highest rank in their group can win, and votes decide among those. Without an order votes decide alone, with one
+    that ends in the negated row id nothing is left to them. All usable values vote on the reliability of sources in any case.
     """
 
     name: str
     value: Column
     usable: Column
-    order: Column | None = None
+    order: Column | tuple[Column, ...] | None = None
 
+    def ranks(self) -> list[Column]:
+        return [] if self.order is None else list(self.order) if isinstance(self.order, tuple) else [self.order]
 
-def discover(spark: SparkSession, rows: DataFrame, group: Column, row_id: Column, source: Column, fields: list[Field], tolerance: float = 1e-3, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+
+def discover(spark: SparkSession, rows: DataFrame, group: Column, row_id: Column, source: Column, fields: list[Field], tolerance: float = 1e-3, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
     """The highest-supported value per group and field, and the reliability of each source.
 
-    Returns (group, field, row_id, value, support) and (source, weight). Every usable value of a row is a claim of the row's
-    source. Rounds alternate: the support of a claimed value is the weight of the sources whose claims support it, as a share of
+    Returns (group, field, row_id, value, support) and (source, weight). ``source`` is a text or an array of texts. Every usable value of a
+    row is a claim of each of the row's sources. Rounds alternate: the support of a claimed value is the weight of the claims for it, as a share of
     all weight claimed for that group and field; the weight of a source is the mean support of its claims. They end when no weight
-    moves by more than ``tolerance``, or after ``rounds``. Ties of support go to the smaller row id. Rows without a group are left
-    out, a null source is a source of its own, groups without a usable value for a field have no row for it.
+    moves by more than ``tolerance``; if that isn't so after ``rounds``, a RuntimeError tells it. Among the values of the highest rank (see
+    ``Field``) the one with most support wins; ties go to the smaller row id. Rows without a group are left
+    out, a null source and no source are one source of their own, groups without a usable value for a field have no row for it.
 
-    Claims are first counted per (group, field, value, source), so repeated rows are pre-aggregated; what is carried from
-    round to round is the number of supporting claims per value and source, found once by distributed prefix sums, so
-    that no group has to fit into one task. The names of one group's sources have to fit into a row.
+    Claims are counted per (group, field, value, source) once, so repeated rows are pre-aggregated, and no group has to fit into one task.
     """
     work = Workspace(spark, "survivors")
-    claim = F.array(
-        *[
-            F.when(
-                F.coalesce(f.usable, F.lit(False)),
-                F.struct(F.lit(f.name).alias("field"), f.value.cast("string").alias("value"), (F.lit(None) if f.order is None else f.order).cast("long").alias("ord"), F.lit(f.order is not None).alias("ordered")),
-            )
-            for f in fields
-        ]
-    )
-    claims = rows.select(group.alias("grp"), row_id.cast("long").alias("row_id"), F.coalesce(source, F.lit("")).alias("src"), F.explode(F.array_compact(claim)).alias("c")).where("grp is not null").select("grp", "row_id", "src", "c.*")
-    # a value without an order stands below all others
-    claims = claims.withColumn("ord", F.when(F.col("ordered"), F.coalesce("ord", F.lit(-(2**62)))))
-    counted = work.table(
-        claims.groupBy("grp", "field", "ordered", F.when(~F.col("ordered"), F.col("value")).alias("val"), "ord", "src").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "value")).alias("first")
-        ),
-        "claims",
-    )
-    key = ["grp", "field", "val", "ord"]
-    values = counted.groupBy(*key, "ordered").agg(F.min("first").alias("first"))
-    plain = counted.where("not ordered").select(*key, "src", F.col("n").alias("backing"))
-    # for ordered fields: per source the running number of claims, at each value that any source claims
-    grid = counted.where("ordered").select("grp", "field", "ord", "src", "n")
-    own = grid.groupBy("grp", "field").agg(F.collect_set("src").alias("srcs"))
-    each = lookup_join(values.where("ordered").select("grp", "field", "ord"), own, ["grp", "field"], "inner").select("grp", "field", "ord", F.explode("srcs").alias("src"))
-    at_values = each.join(grid, ["grp", "field", "ord", "src"], "left").fillna(0, ["n"])
-    running = prefix_sums(work, at_values, ["grp", "field", "src"], ["ord"], "n", "backing").where("backing > 0").select("grp", "field", F.lit(None).cast("string").alias("val"), "ord", "src", "backing")
-    backing = work.table(plain.unionByName(running), "backing")
-    made = counted.groupBy(*key, "src").agg(F.sum("n").alias("n"))
-    total = counted.groupBy("grp", "field", "src").agg(F.sum("n").alias("n"))
-    weights = counted.select("src").distinct().withColumn("weight", F.lit(0.5))
-    weights, _ = work.write(weights, "weights")
-    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key]
+    if not isinstance(rows.select(source.alias("s")).schema["s"].dataType, T.ArrayType):
+        source = F.array(source)
+    sources = F.array_distinct(F.transform(source, lambda x: F.coalesce(x, F.lit(""))))
+    rank = lambda f: F.array(*[F.coalesce(r.cast("long"), F.lit(-(2**62))) for r in f.ranks()]).cast("array<bigint>")
+    claim = F.array(*[F.when(F.coalesce(f.usable, F.lit(False)), F.struct(F.lit(f.name).alias("field"), f.value.cast("string").alias("value"), rank(f).alias("ord"))) for f in fields])
+    claims = rows.select(group.alias("grp"), row_id.cast("long").alias("row_id"), F.when(F.size(sources) > 0, sources).otherwise(F.array(F.lit(""))).alias("srcs"), F.explode(F.array_compact(claim)).alias("c"))
+    claims = claims.where("grp is not null").select("grp", F.explode("srcs").alias("src"), "c.field", "c.value", F.struct("c.ord", (-F.col("row_id")).alias("first")).alias("best"))
+    key = ["grp", "field", "value"]
+    counted, m = work.write(claims.groupBy(*key, "src").agg(F.count(F.lit(1)).alias("n"), F.max("best").alias("best")), "claims", rows=F.count(F.lit(1)))
+    weights, w = work.write(counted.select("src").distinct().withColumn("weight", F.lit(0.5)), "weights", rows=F.count(F.lit(1)))
     for _ in range(rounds):
-        support = _support(backing, total, weights, key)
-        new = support.alias("b").join(made.alias("m"), same).groupBy("m.src").agg((F.sum(F.col("b.support") * F.col("m.n")) / F.sum("m.n")).alias("weight"))
-        joined = new.join(weights.withColumnRenamed("weight", "old"), "src")
-        joined, m = work.write(joined.select("src", F.greatest("weight", F.lit(0.01)).alias("weight"), "old"), "weights", moved=F.max(F.abs(F.col("weight") - F.col("old"))))
-        weights = joined.select("src", "weight")
-        if m["moved"] is None or m["moved"] <= tolerance:
+        support = _support(counted, weights, key, m["rows"], w["rows"])
+        new = counted.join(support, [*key]).groupBy("src").agg(F.greatest(F.sum(F.col("support") * F.col("n")) / F.sum("n"), F.lit(0.01)).alias("weight"))
+        joined = lookup_join(new, weights.withColumnRenamed("weight", "old"), ["src"], "inner", w["rows"], w["rows"])
+        old = weights
+        weights, moved = work.write(joined, "weights", moved=F.max(F.abs(F.col("weight") - F.col("old"))))
+        weights = weights.drop("old")
+        work.drop(old)
+        if moved["moved"] is None or moved["moved"] <= tolerance:
             break
-    support = _support(backing, total, weights, key)
-    best = (
-        support.alias("b")
-        .join(values.alias("m"), same)
-        .groupBy("m.grp", "m.field")
-        .agg(F.max_by(F.struct("m.first", "b.support"), F.struct("b.support", -F.col("m.first.row_id"))).alias("w"))
-        .select(F.col("grp"), "field", F.col("w.first.row_id").alias("row_id"), F.col("w.first.value").alias("value"), F.col("w.support").alias("support"))
-    )
-    return best, weights
+    else:
+        raise RuntimeError(f"weights of sources still move by {moved['moved']} after {rounds} rounds")
+    ranked = counted.groupBy(*key).agg(F.max("best").alias("best")).join(_support(counted, weights, key, m["rows"], w["rows"]), key)
+    best = ranked.groupBy("grp", "field").agg(F.max(F.struct("best.ord", "support", "best.first", "value")).alias("w"))
+    return best.select("grp", "field", (-F.col("w.first")).alias("row_id"), F.col("w.value").alias("value"), F.col("w.support").alias("support")), weights
 
 
-def _support(backing: DataFrame, total: DataFrame, weights: DataFrame, key: list[str]) -> DataFrame:
+def _support(counted: DataFrame, weights: DataFrame, key: list[str], claims: int, sources: int) -> DataFrame:
     # sums of weight times count as decimals: equal backing gives equal support in any order of summing
     w = weights.select("src", F.col("weight").cast(T.DecimalType(12, 9)).alias("weight"))
-    all_ = total.join(w, "src").groupBy("grp", "field").agg(F.sum(F.col("weight") * F.col("n")).alias("all_weight"))
-    got = backing.join(w, "src").groupBy(*key).agg(F.sum(F.col("weight") * F.col("backing")).alias("weight"))
-    return lookup_join(got, all_, ["grp", "field"], "inner").select(*key, (F.col("weight").cast("double") / F.col("all_weight").cast("double")).alias("support"))
+    got = lookup_join(counted, w, ["src"], "inner", claims, sources).groupBy(*key).agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
+    total = got.groupBy("grp", "field").agg(F.sum("weight").alias("all_weight"))
+    return lookup_join(got, total, ["grp", "field"], "inner", claims).select(*key, (F.col("weight").cast("double") / F.col("all_weight").cast("double")).alias("support"))

@@ -62,6 +62,57 @@ def test_survivor_takes_highest_support(spark):
     assert discover(spark, df.where("false"), F.col("grp"), F.col("row_id"), F.col("src"), fields)[0].count() == 0
 
 
+def by_votes(claims, tolerance=1e-3):
+    """Brute force: claims (group, field, value, source, row id) to winners and weights."""
+    w = {s: 0.5 for _, _, _, s, _ in claims}
+    support = lambda: {
+        (g, f, v): sum(w[s] for a, b, c, s, _ in claims if (a, b, c) == (g, f, v)) / sum(w[s] for a, b, _, s, _ in claims if (a, b) == (g, f)) for g, f, v, _, _ in claims
+    }
+    while True:
+        sup, old = support(), dict(w)
+        for s in w:
+            own = [sup[g, f, v] for g, f, v, t, _ in claims if t == s]
+            w[s] = max(0.01, sum(own) / len(own))
+        if max(abs(w[s] - old[s]) for s in w) <= tolerance:
+            break
+    sup, best = support(), {}
+    for g, f, v, _, i in claims:
+        first = min(j for a, b, c, _, j in claims if (a, b, c) == (g, f, v))
+        best[g, f] = max(best.get((g, f), (-1, 0, "")), (round(sup[g, f, v], 7), -first, v))
+    return {k: (-i, v) for k, (_, i, v) in best.items()}, w
+
+
+def test_votes_of_reliable_sources_change_the_winner(spark):
+    rnd = random.Random(11)
+    rows, n = [], 0
+    for g in range(60):
+        for s, good in (("a", 0.95), ("b", 0.9), ("x", 0.3), ("y", 0.3), ("z", 0.3)):
+            if rnd.random() < 0.8:
+                n += 1
+                rows.append((g, n, ["true", "wrong", "other"][0 if rnd.random() < good else rnd.randrange(1, 3)], [s] if rnd.random() < 0.9 else [s, "b"]))
+    df = spark.createDataFrame(rows, "grp int, row_id bigint, value string, srcs array<string>")
+    best, weights = discover(spark, df, F.col("grp"), F.col("row_id"), F.col("srcs"), [Field("f", F.col("value"), F.lit(True))])
+    want, w = by_votes([(g, "f", v, s, i) for g, i, v, ss in rows for s in set(ss)])
+    assert {(r.grp, r.field): (r.row_id, r.value) for r in best.collect()} == want
+    assert all(abs(r.weight - w[r.src]) < 1e-6 for r in weights.collect())
+    flat, _ = by_votes([(g, "f", v, "one", i) for g, i, v, ss in rows for _ in set(ss)])
+    assert any(want[k] != flat[k] for k in want)  # the weights decide somewhere
+
+
+def test_order_leaves_ties_to_votes(spark):
+    rows = [(1, 1, 5, "old", "a"), (1, 2, 9, "new", "a"), (1, 3, 9, "newer", "b"), (1, 4, 1, "newer", "b"), (2, 5, 1, "newer", "b"), (2, 6, 1, "newer", "b"), (2, 7, 1, "q", "a"), (3, 8, None, "v", "a"), (3, 9, None, "u", "a")]
+    df = spark.createDataFrame(rows, "grp int, row_id bigint, seen bigint, value string, src string")
+    pick = lambda order: {r.grp: r.row_id for r in discover(spark, df, F.col("grp"), F.col("row_id"), F.col("src"), [Field("f", F.col("value"), F.lit(True), order)])[0].collect()}
+    assert pick(F.col("seen")) == {1: 3, 2: 5, 3: 8}
+    assert pick((F.col("seen"), -F.col("row_id"))) == {1: 2, 2: 5, 3: 8}
+
+
+def test_rounds_without_an_end_are_told(spark):
+    df = spark.createDataFrame([(1, i, str(i % 3), f"s{i % 4}") for i in range(30)], "grp int, row_id bigint, value string, src string")
+    with pytest.raises(RuntimeError, match="still move"):
+        discover(spark, df, F.col("grp"), F.col("row_id"), F.col("src"), [Field("f", F.col("value"), F.lit(True))], tolerance=-1.0, rounds=2)
+
+
 def test_terms_are_counted_over_ranges(spark, monkeypatch):
     texts = [("r1", "A_b b.PDF"), ("r2", "b.pdf"), ("r3", "été été.pdf"), ("r4", None), ("r5", "  "), ("r6", "x" * 5000 + ".pdf"), (None, "b")] + [(f"h{i}", "hot hot") for i in range(300)]
     df = spark.createDataFrame(texts, "id string, filename string")
