@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -29,6 +30,8 @@ NEAR = 50
 TRIM = 0.1
 #: A mark of omission stands at most so many characters before the limit that made it necessary.
 WORD_ROOM = 18
+#: Letters of a prefix that words are joined by.
+KEY = 48
 FEATURES = (
     "doc_id bigint, source string, hash string, chars int, bytes int, closed boolean, marker boolean, torn boolean, word string, before string, plain boolean, lower boolean, opening string, closing string, mark string"
 )
@@ -55,22 +58,33 @@ def shape(s: str) -> str:
     return re.sub(r"\d+", "9", s)
 
 
+def short(s: str) -> str:
+    """Itself, or, of a long one, its hash: enough to tell whether two are equal."""
+    return s if len(s) <= 200 else hashlib.md5(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def ending(text: str) -> tuple:
     """The features of FEATURES from ``closed`` on."""
     s = text.rstrip()
-    tail = s[-400:]
-    toks = list(TOKEN.finditer(tail))
+    room = 400
+    while True:
+        # as much of the end as holds the last two tokens whole
+        tail = s[-room:]
+        toks = list(TOKEN.finditer(tail))
+        if room >= len(s) or (len(toks) > 2 or (len(toks) == 2 and toks[0].start() > 1)):
+            break
+        room *= 8
     at_end = bool(toks) and toks[-1].end() == len(tail)
     word = toks[-1].group() if at_end else ""
     before = toks[-2].group().lower() if at_end and len(toks) > 1 else ""
-    opening = shape(re.match(r"[^\w]*(?:\d[\d\W]*)?", s[:60]).group()) if s else ""
-    closing = shape(s[s.rfind("\n") + 1 :][-200:])
+    opening = shape(re.match(r"[^\w]*(?:\d[\d\W]*)?", s).group()) if s else ""
+    closing = short(shape(s[s.rfind("\n") + 1 :]))
     omission = MARKER.search(s)
     marker = bool(omission)
     closed = bool(CLOSED.search(s)) or s.endswith(("]", ")", "”", "»", '"')) or not s
     return (
         closed and not marker, marker, torn_table(s) or s.endswith((",", ";", "(", "&", "-")), word.lower(), before,
-        bool(word) and word.isalpha(), word[:1].islower(), opening if len(opening) >= 8 else "", closing, shape(omission.group().strip().lower()) if omission else "",
+        bool(word) and word.isalpha(), word[:1].islower(), short(opening) if len(opening) >= 8 else "", closing, shape(omission.group().strip().lower()) if omission else "",
     )
 
 
@@ -140,7 +154,9 @@ def significant_lengths(work: Workspace, lengths: DataFrame, level: float = 1e-3
     """
     w = W.partitionBy("source", "unit").orderBy("length")
     near = F.sum("n").over(w.rangeBetween(-NEAR, NEAR)) - F.col("n")
-    reach = F.sum("n").over(w.rangeBetween(0, W.unboundedFollowing))
+    # a running sum and the whole: linear in the lengths
+    ended = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1))
+    reach = F.sum("n").over(W.partitionBy("source", "unit")) - F.coalesce(ended, F.lit(0))
     # hazards near by: what ends there, among what reaches the middle of each side
     before = F.sum("n").over(w.rangeBetween(-NEAR, -1))
     hazards = lengths.select(
@@ -238,13 +254,16 @@ def cut_documents(spark: SparkSession, documents: DataFrame, least: int = 20) ->
     last = work.table(last.join(grams.select("before", "word", F.col("n").alias("pair")), ["before", "word"], "left").fillna(0, ["n", "ends", "pair"]), "last")
     mid = (F.col("n") >= least) & (F.col("ends") <= 0.002 * F.col("n")) & (F.col("pair") >= 50 * F.col("finals"))
     sentence = last.where(mid).select("before", "word", F.lit("sentence").alias("reason"))
-    strange = last.withColumn("head", F.substring("word", 1, 3))
-    heads = lambda df, cols: df.select(*cols, F.col("word").alias("whole"), F.col("n").alias("whole_n"), F.explode(F.array_distinct(F.array(*[F.substring("word", 1, k) for k in (1, 2, 3)]))).alias("head"))
+    # words that the last one begins: joined by their prefixes, of which those beyond KEY letters are told apart after the join
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(KEY))), lambda k: F.substring(F.col("word"), F.lit(1), k))
+    heads = lambda df, cols: df.where("length(word) > 1").select(*cols, F.col("word").alias("whole"), F.col("n").alias("whole_n"), F.explode(starts).alias("head"))
+    strange = last.withColumn("head", F.substring("word", 1, KEY))
     longer = F.length("whole") - F.length("word")
     begins = F.col("whole").startswith(F.col("word")) & (longer >= F.when(F.col("lower"), 1).otherwise(2))
-    after = strange.join(heads(grams.where("n >= 2"), ["before"]), ["before", "head"]).where(begins)
+    follow = grams.where("n >= 2").join(last.select("before").distinct(), "before", "left_semi")
+    after = strange.join(heads(follow, ["before"]), ["before", "head"]).where(begins)
     after = after.where(((F.col("n") <= 1) & (F.col("pair") == 0)) | ((F.col("whole_n") >= least) & (F.col("pair") <= 0.01 * F.col("whole_n")))).select("before", "word").distinct()
-    common = strange.where(F.col("lower") & (F.length("word") >= 3)).join(heads(words.where(F.col("n") >= least), []).where(F.length("head") == 3), "head").where(begins & (F.col("n") <= 0.02 * F.col("whole_n"))).select("before", "word").distinct()
+    common = strange.where(F.col("lower") & (F.length("word") >= 3)).join(heads(words.where(F.col("n") >= least), []).where("length(head) >= 3"), "head").where(begins & (F.col("n") <= 0.02 * F.col("whole_n"))).select("before", "word").distinct()
     broken = after.union(common).distinct().withColumn("reason", F.lit("word"))
     by_word = worded.select("hash", "before", "word", "opening", "closing").join(sentence.unionByName(broken), ["before", "word"]).select("hash", "reason", "opening", "closing")
     cut = reduce(DataFrame.unionByName, [limit, unlike, torn, by_word]).groupBy("hash").agg(F.min("reason").alias("reason"))
