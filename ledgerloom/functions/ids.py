@@ -17,6 +17,7 @@ NAMESPACES = {
     "session": uuid.UUID("f3e4a5b6-789a-bcde-f012-345678901234"),
     "merge_event": uuid.UUID("a1b2c3d4-89ab-cdef-0123-456789abcdef"),
 }
+THING, ALBUM = uuid.UUID("a0b1c2d3-4567-89ab-cdef-0123456789ab"), uuid.UUID("b1c2d3e4-5678-9abc-def0-123456789abc")
 FILE_URN = "urn:sha256:"
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
@@ -53,5 +54,8 @@ def to_iri(value: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """Percent-encoded, with %20 for a blank."""
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent-encoded, with %20 for a blank; letters, digits and ``-._~`` stay."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out

@@ -81,3 +81,15 @@ def completeness(present: Column, required: list[str], recommended: list[str]) -
 
 def missing(present: Column, required: list[str]) -> Column:
     return F.array_except(F.array(*map(F.lit, required)), present)
+
+
+def unique_names(names: Column) -> Column:
+    """Names with single blanks, longer than two, each once in whatever case, the first spelling in place."""
+    plain = F.transform(names, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    low = F.transform(plain, F.lower)
+    return F.filter(plain, lambda x, i: (F.length(x) > 2) & (F.array_position(low, F.lower(x)) == i + 1))
+
+
+def report_time(name: Column) -> Column:
+    """The time in a name like ``..._20250131_093000.json``, null if there is none."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"(\d{8}_\d{6})", 1), F.lit("")), F.lit("yyyyMMdd_HHmmss"))

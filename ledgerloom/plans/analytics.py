@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ledgerloom.functions import ids, paths, text
 from ledgerloom.operators import features, feedback, graph, kv, validation
 from ledgerloom.plans.catalog import CTE, files
-from ledgerloom.plans.scalars import _CASCADE_SQL, _EXT_SQL, NAMES, TOKENS_SQL, cascade, extension_class
+from ledgerloom.plans.scalars import _CASCADE_SQL, _COMPANY_SQL, _EXT, _EXT_SQL, _PEOPLE_SQL, _UNIQUE_SQL, LABELS_SQL, TOKENS_SQL, cascade, company_names, extension_class, name_patterns, people_names
 from ledgerloom.plans.tables import table
 
 QUERIES: dict = {}
@@ -62,18 +62,53 @@ def agg_dataset_tokens(s, d):
     return _tokens(s, d).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("files")).orderBy(F.desc("n"), "token").limit(30)
 
 
-@query(CTE + "SELECT schema_type, count(*) AS files, round(avg(length(filename)), 6) AS name_length, count(exif) AS with_image FROM (SELECT schema_type, filename, image_width AS exif FROM cur) GROUP BY 1")
+_DOCS = ", ".join(f"'.{e}'" for e in ("pdf", "doc", "docx", "rtf", "odt", "txt"))
+_STATS_SQL = (
+    CTE
+    + f"SELECT 'category' AS stat, coalesce(schema_type, 'uncategorized') AS key, count(*) AS n FROM cur GROUP BY 2"
+    + " UNION ALL (SELECT 'subcategory', coalesce(mime_type, 'none') AS key, count(*) AS n FROM cur GROUP BY 2 ORDER BY n DESC, key LIMIT 20)"
+    + " UNION ALL (SELECT 'extension', coalesce(lower(file_extension), '') AS key, count(*) AS n FROM cur GROUP BY 2 ORDER BY n DESC, key LIMIT 20)"
+    + " UNION ALL SELECT 'pattern', 'screenshots', count(*) FILTER (WHERE regexp_matches(lower(filename), 'screenshot|bildschirmfoto')) FROM cur UNION ALL SELECT 'pattern', 'game assets', count(*) FILTER (WHERE regexp_matches(lower(filename), 'sprite|tile|frame')) FROM cur"
+    + f" UNION ALL SELECT 'pattern', 'documents', count(*) FILTER (WHERE lower(file_extension) IN ({_DOCS})) FROM cur"
+    + " UNION ALL SELECT 'metadata', 'text', count(*) FILTER (WHERE extracted_text_length > 0) FROM cur UNION ALL SELECT 'metadata', 'time', count(created_at) FROM cur UNION ALL SELECT 'metadata', 'size', count(image_width) FROM cur"
+    + " UNION ALL SELECT 'filename', 'mean length x 100', round(100 * avg(length(filename)))::BIGINT FROM cur"
+)
+
+
+@query(_STATS_SQL)
 def agg_dataset_stats(s, d):
-    return files(s, d).groupBy("schema_type").agg(F.count(F.lit(1)).alias("files"), F.round(F.avg(F.length("filename")), 6).alias("name_length"), F.count("image_width").alias("with_image"))
+    """Distributions, counts of name patterns and of metadata, mean length of names; words are counted by agg_dataset_tokens."""
+    f = files(s, d)
+    n = F.count(F.lit(1)).alias("n")
+    by = lambda stat, key: f.groupBy(key.alias("key")).agg(n).select(F.lit(stat).alias("stat"), "key", "n")
+    top = lambda df: df.orderBy(F.desc("n"), "key").limit(20)
+    low, ext = F.lower("filename"), F.lower("file_extension")
+    flags = {
+        ("pattern", "screenshots"): F.count_if(low.rlike("screenshot|bildschirmfoto")), ("pattern", "game assets"): F.count_if(low.rlike("sprite|tile|frame")), ("pattern", "documents"): F.count_if(ext.isin(".pdf", ".doc", ".docx", ".rtf", ".odt", ".txt")),
+        ("metadata", "text"): F.count_if(F.col("extracted_text_length") > 0), ("metadata", "time"): F.count("created_at"), ("metadata", "size"): F.count("image_width"), ("filename", "mean length x 100"): F.round(100 * F.avg(F.length("filename"))).cast("bigint"),
+    }
+    one = f.agg(F.array(*[F.struct(F.lit(a).alias("stat"), F.lit(b).alias("key"), c.alias("n")) for (a, b), c in flags.items()]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return by("category", F.coalesce("schema_type", F.lit("uncategorized"))).unionByName(top(by("subcategory", F.coalesce("mime_type", F.lit("none"))))).unionByName(top(by("extension", F.coalesce(ext, F.lit(""))))).unionByName(one)
+
+
+_KNOWN_EXT = ", ".join(f"'{e}'" for e in _EXT)
 
 
 @query(
     CTE
-    + ", q AS (SELECT count(*) AS total, count(*) FILTER (WHERE schema_type IS NULL) AS unlabelled, count(*) FILTER (WHERE coalesce(trim(filename), '') = '') AS unnamed, count(*) FILTER (WHERE content_hash IS NULL) AS unhashed FROM cur) SELECT *, round(greatest(0.0, 100 - (unlabelled * 0.5 + unnamed * 1.0 + unhashed * 0.1) * 100 / total), 4) AS score FROM q"
+    + f", q AS (SELECT count(*) AS total, count(*) FILTER (WHERE schema_type IS NULL OR schema_type = 'uncategorized') AS uncategorized, count(*) FILTER (WHERE coalesce(filename, '') = '') AS unnamed, count(*) FILTER (WHERE lower(file_extension) <> '' AND lower(file_extension) NOT IN ({_KNOWN_EXT})) AS unknown_extension FROM cur), dup AS (SELECT count(*) AS duplicate_names FROM (SELECT filename FROM cur WHERE filename <> '' GROUP BY 1 HAVING count(*) > 1))"
+    + " SELECT *, round(greatest(0.0, 100 - (uncategorized * 0.5 + unnamed * 1.0 + duplicate_names * 0.1 + unknown_extension * 0.05) * 100 / total), 2) AS score FROM q, dup"
 )
 def agg_quality(s, d):
-    blank = F.coalesce(F.trim("filename"), F.lit("")) == ""
-    return features.quality(files(s, d), {"unlabelled": (F.col("schema_type").isNull(), 0.5), "unnamed": (blank, 1.0), "unhashed": (F.col("content_hash").isNull(), 0.1)})
+    """Missing classes, empty and repeated names, unknown extensions, and a score of 100 less what they weigh."""
+    f = files(s, d)
+    ext = F.lower("file_extension")
+    c = f.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("schema_type").isNull() | (F.col("schema_type") == "uncategorized")).alias("uncategorized"), F.count_if(F.coalesce("filename", F.lit("")) == "").alias("unnamed"), F.count_if((ext != "") & ~ext.isin(*_EXT)).alias("unknown_extension"))
+    dup = f.where("filename <> ''").groupBy("filename").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicate_names"))
+    # two single rows side by side
+    both = c.withColumn("k", F.lit(1)).join(dup.withColumn("k", F.lit(1)), "k").drop("k")
+    lost = F.col("uncategorized") * 0.5 + F.col("unnamed") * 1.0 + F.col("duplicate_names") * 0.1 + F.col("unknown_extension") * 0.05
+    return both.withColumn("score", F.round(F.greatest(F.lit(0.0), 100 - F.try_divide(lost * 100, F.col("total"))), 2))
 
 
 _PRED = CTE + ", pair AS (SELECT coalesce(schema_type, 'none') AS actual, CASE WHEN starts_with(mime_type, 'image/') THEN 'ImageObject' WHEN starts_with(mime_type, 'audio/') THEN 'AudioObject' WHEN starts_with(mime_type, 'video/') THEN 'VideoObject' ELSE 'DigitalDocument' END AS predicted FROM cur)\n"
@@ -99,9 +134,15 @@ def agg_prf(s, d):
     return features.scores(_pairs(s, d))
 
 
-@query(_PRED + "SELECT count(*) AS n, round(avg((actual = predicted)::INT), 6) AS accuracy FROM pair")
+@query(CTE + f"SELECT count(*) AS n, round(avg((coalesce(schema_type, 'none') = CASE WHEN starts_with(mime_type, 'image/') THEN 'ImageObject' WHEN starts_with(mime_type, 'audio/') THEN 'AudioObject' WHEN starts_with(mime_type, 'video/') THEN 'VideoObject' ELSE 'DigitalDocument' END)::INT), 6) AS accuracy, round(avg((mime_type IS NOT NULL AND lower(file_extension) = '.' || split_part(mime_type, '/', 2))::INT), 6) AS sub_accuracy, round(avg(CASE WHEN mime_type IS NULL THEN 0.5 ELSE 0.9 END), 6) AS confidence FROM cur")
 def agg_accuracy(s, d):
-    return _pairs(s, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("actual") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
+    """Shares of right classes and of right finer classes, and the mean confidence, in one pass."""
+    m = F.col("mime_type")
+    rules = [(m.startswith("image/"), F.lit("ImageObject")), (m.startswith("audio/"), F.lit("AudioObject")), (m.startswith("video/"), F.lit("VideoObject"))]
+    right = F.coalesce("schema_type", F.lit("none")) == text.first_match(rules, F.lit("DigitalDocument"))
+    finer = F.coalesce(F.lower("file_extension") == F.concat(F.lit("."), F.split_part(m, F.lit("/"), F.lit(2))), F.lit(False))
+    mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    return files(s, d).agg(F.count(F.lit(1)).alias("n"), mean(right.cast("int"), "accuracy"), mean(finer.cast("int"), "sub_accuracy"), mean(F.when(m.isNull(), 0.5).otherwise(0.9), "confidence"))
 
 
 @query(_PRED + "SELECT actual, predicted, count(*) AS n FROM pair WHERE actual <> predicted GROUP BY 1, 2 ORDER BY n DESC, actual, predicted LIMIT 10")
@@ -109,18 +150,20 @@ def agg_misclass_top10(s, d):
     return features.confusion(_pairs(s, d)).where("actual <> predicted").orderBy(F.desc("n"), "actual", "predicted").limit(10)
 
 
-_LABELS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(filename), '{p}') THEN '{k}' END" for k, p in NAMES.items()) + "], lambda x: x IS NOT NULL)"
-_LOG = CTE + f", log AS (SELECT id, content_hash AS hash, db_updated_at AS seen, schema_type AS category, {_LABELS_SQL} AS patterns FROM cur WHERE schema_type IS NOT NULL), votes AS (SELECT pattern, category, count(*) AS votes FROM (SELECT unnest(patterns) AS pattern, category FROM log) GROUP BY 1, 2)\n"
+_LOG = CTE + f", log AS (SELECT id, content_hash AS hash, db_updated_at AS seen, schema_type AS category, mime_type AS mime, {LABELS_SQL} AS patterns FROM cur WHERE schema_type IS NOT NULL), votes AS (SELECT pattern, category, count(*) AS votes FROM (SELECT unnest(patterns) AS pattern, category FROM log) GROUP BY 1, 2)\n"
 
 
 def _log(s, d) -> DataFrame:
     f = files(s, d).where("schema_type is not null")
-    return f.select("id", F.col("content_hash").alias("hash"), F.col("db_updated_at").alias("at"), F.col("schema_type").alias("category"), text.labels(F.lower("filename"), NAMES).alias("patterns"))
+    return f.select("id", F.col("content_hash").alias("hash"), F.col("db_updated_at").alias("at"), F.col("schema_type").alias("category"), F.col("mime_type").alias("mime"), name_patterns(F.col("filename")).alias("patterns"))
 
 
-@query(_LOG + "SELECT * FROM votes")
+@query(_LOG + "SELECT 'category' AS what, pattern, category AS value, votes FROM votes UNION ALL SELECT 'subcategory', pattern, mime, count(*) FROM (SELECT mime, unnest(patterns) AS pattern FROM log) GROUP BY 2, 3")
 def agg_learned(s, d):
-    return feedback.pattern_votes(_log(s, d))
+    """Votes of patterns for categories and for finer classes."""
+    log = _log(s, d)
+    votes = lambda df, what: feedback.pattern_votes(df).select(F.lit(what).alias("what"), "pattern", F.col("category").alias("value"), "votes")
+    return votes(log, "category").unionByName(votes(log.drop("category").withColumnRenamed("mime", "category"), "subcategory"))
 
 
 @query(_LOG + ", t AS (SELECT pattern, sum(votes) AS total, max(votes) AS best FROM votes GROUP BY 1) SELECT t.pattern, min(v.category) AS category, total::BIGINT AS total, round(best / total, 4) AS confidence FROM t JOIN votes v ON v.pattern = t.pattern AND v.votes = best WHERE total >= 3 AND best / total >= 0.7 GROUP BY t.pattern, total, best")
@@ -130,12 +173,12 @@ def agg_rules(s, d):
 
 @query(
     _LOG
-    + f", r AS (SELECT id, {_CASCADE_SQL} AS category, unnest({_LABELS_SQL}) AS pattern FROM cur), e AS (SELECT r.id, r.category, v.category AS into_, sum(votes) AS votes FROM r JOIN votes v USING (pattern) GROUP BY 1, 2, 3), b AS (SELECT id, category, sum(votes) AS total, max(votes) AS best FROM e GROUP BY 1, 2)"
+    + f", r AS (SELECT id, {_CASCADE_SQL} AS category, unnest({LABELS_SQL}) AS pattern FROM cur), e AS (SELECT r.id, r.category, v.category AS into_, sum(votes) AS votes FROM r JOIN votes v USING (pattern) GROUP BY 1, 2, 3), b AS (SELECT id, category, sum(votes) AS total, max(votes) AS best FROM e GROUP BY 1, 2)"
     + " SELECT b.id, b.category, min(e.into_) AS suggested, round(best / total, 4) AS confidence FROM b JOIN e ON e.id = b.id AND e.votes = best WHERE best / total >= 0.6 GROUP BY b.id, b.category, best, total HAVING min(e.into_) <> b.category"
 )
 def cls_feedback_suggest(s, d):
     """jn_pattern_votes: the category that learned patterns of the name vote for."""
-    rows = files(s, d).select("id", cascade().alias("category"), text.labels(F.lower("filename"), NAMES).alias("patterns"))
+    rows = files(s, d).select("id", cascade().alias("category"), name_patterns(F.col("filename")).alias("patterns"))
     return feedback.suggestions(rows, feedback.pattern_votes(_log(s, d)), 0.6)
 
 
@@ -146,9 +189,13 @@ def jn_correction_exact(s, d):
     return files(s, d).join(last, F.col("content_hash") == F.col("hash")).where("schema_type is null or schema_type <> corrected").select("id", "corrected")
 
 
-@query(_LOG + "SELECT category, count(*) AS corrections, count(DISTINCT hash) AS contents FROM log GROUP BY 1")
+@query(_LOG + f"SELECT 'category' AS what, category AS key, count(*) AS corrections FROM log GROUP BY 2 UNION ALL (SELECT 'mistake', {_CASCADE_SQL} || ' to ' || schema_type AS key, count(*) AS n FROM cur WHERE schema_type IS NOT NULL AND {_CASCADE_SQL} <> schema_type GROUP BY 2 ORDER BY n DESC, key LIMIT 20)")
 def agg_corrections(s, d):
-    return _log(s, d).groupBy("category").agg(F.count(F.lit(1)).alias("corrections"), F.countDistinct("hash").alias("contents"))
+    """Corrections per category, and the twenty most frequent mistakes."""
+    per = _log(s, d).groupBy(F.col("category").alias("key")).agg(F.count(F.lit(1)).alias("corrections"))
+    wrong = files(s, d).where("schema_type is not null").select(cascade().alias("was"), "schema_type").where("was <> schema_type")
+    most = wrong.groupBy(F.concat("was", F.lit(" to "), "schema_type").alias("key")).agg(F.count(F.lit(1)).alias("corrections")).orderBy(F.desc("corrections"), "key").limit(20)
+    return per.select(F.lit("category").alias("what"), "*").unionByName(most.select(F.lit("mistake").alias("what"), "*"))
 
 
 _KV = "WITH log AS (SELECT event_type AS namespace, 'user:' || (user_id % 50) AS key, event_id, props AS value, CASE WHEN user_id % 3 = 0 THEN ts + to_minutes(user_id::INT) END AS expires_at FROM events), kv AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY namespace, key ORDER BY event_id DESC) = 1)\n"
@@ -256,8 +303,6 @@ def jn_config_dim(s, d):
 
 @query(CTE + f"SELECT id, {_EXT_SQL} AS folder FROM cur WHERE file_extension IS NOT NULL")
 def jn_rule_lookup(s, d):
-    from ledgerloom.plans.scalars import _EXT
-
     rules = F.broadcast(s.createDataFrame(list(_EXT.items()), "ext string, folder string"))
     return files(s, d).where("file_extension is not null").join(rules, F.lower("file_extension") == F.col("ext"), "left").select("id", F.coalesce("folder", F.lit("other")).alias("folder"))
 
@@ -373,11 +418,23 @@ def fn_sameas(s, d):
     return g.select("id", F.when(F.size("xs") == 1, F.col("xs")[0]).otherwise(F.concat(F.lit("["), F.array_join("xs", ","), F.lit("]"))).alias("same_as"))
 
 
-@query(_TOK.replace("tok AS", "unused AS (SELECT 1), tok AS") + "SELECT person, count(*) AS documents, array_to_string(list_sort(list(doc_id))[:3], ',') AS first FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:with|informed|although) ([A-Z][a-z]+ [A-Z][a-z]+)', 1)) AS person FROM documents) GROUP BY 1")
+_INDEX_SQL = (
+    f"WITH e AS (SELECT doc_id, 'person' AS kind, unnest({_UNIQUE_SQL.format('l')}) AS name FROM {_PEOPLE_SQL} UNION ALL SELECT doc_id, 'company', unnest({_UNIQUE_SQL.format('l')}) FROM {_COMPANY_SQL})\n"
+)
+
+
+@query(_INDEX_SQL + "SELECT kind, name, count(*) AS documents, array_to_string(list_sort(list(doc_id))[:3], ',') AS first FROM e GROUP BY 1, 2")
 def agg_people_companies(s, d):
-    """An inverted index of names with the number of documents and the first three; the three smallest by bounded aggregation."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("(?:with|informed|although) ([A-Z][a-z]+ [A-Z][a-z]+)"), F.lit(1)))
-    each = table(s, d, "documents").select("doc_id", F.explode(found).alias("person"))
-    n = each.groupBy("person").agg(F.count(F.lit(1)).alias("documents"))
-    three = each.withColumn("r", F.row_number().over(W.partitionBy("person").orderBy("doc_id"))).where("r <= 3").groupBy("person").agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("first"))
-    return n.join(three, "person")
+    """An inverted index of the persons and firms named in texts, with the number of documents and the first three; the three smallest by a window with a limit."""
+    t = table(s, d, "documents").select("doc_id", F.explode(F.array(F.struct(F.lit("person").alias("kind"), people_names(F.col("text")).alias("names")), F.struct(F.lit("company").alias("kind"), company_names(F.col("text")).alias("names")))).alias("e"))
+    each = t.select("doc_id", "e.kind", F.explode("e.names").alias("name"))
+    n = each.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("documents"))
+    three = each.withColumn("r", F.row_number().over(W.partitionBy("kind", "name").orderBy("doc_id"))).where("r <= 3").groupBy("kind", "name").agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("first"))
+    return n.join(three, ["kind", "name"])
+
+
+@query(_INDEX_SQL + "SELECT doc_id, count(*) FILTER (WHERE kind = 'person') AS persons, count(*) FILTER (WHERE kind = 'company') AS firms FROM e GROUP BY 1 HAVING count(*) FILTER (WHERE kind = 'person') > 1 ORDER BY persons DESC, doc_id LIMIT 10")
+def agg_most_people(s, d):
+    """The ten documents with most persons, of those with more than one."""
+    n = table(s, d, "documents").select("doc_id", F.size(people_names(F.col("text"))).cast("bigint").alias("persons"), F.size(company_names(F.col("text"))).cast("bigint").alias("firms"))
+    return n.where("persons > 1").orderBy(F.desc("persons"), "doc_id").limit(10)

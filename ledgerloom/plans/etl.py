@@ -178,9 +178,17 @@ def fn_rename_plan(s, d):
     return files(s, d).where("schema_type = 'ImageObject'").select("id", status.alias("status"), F.when(~readable & F.col("created_at").isNotNull(), name).alias("new_name"))
 
 
-@query(CTE + r"SELECT id, replace(replace(regexp_replace(filename, '^(.+)\.[^.]+$', '\1'), '_', ' '), '-', ' ') AS label FROM cur")
+_LABEL_SQL = r"string_split(replace(replace(regexp_replace(filename, '^(.+)\.[^.]+$', '\1'), '_', ' '), '-', ' '), ' ')"
+_NO_FIRM = ["invoice", "receipt", "bill", "statement"]
+
+
+@query(CTE + f"SELECT id, array_to_string(list_transform({_LABEL_SQL}, lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label, list_filter({_LABEL_SQL}, lambda w: w <> '' AND lower(w) NOT IN ('invoice', 'receipt', 'bill', 'statement') AND NOT regexp_matches(w, '^[0-9]+$'))[1] AS firm FROM cur")
 def fn_org_from_filename(s, d):
-    return files(s, d).select("id", F.translate(paths.stem(F.col("filename")), "_-", "  ").alias("label"))
+    """The words of a name as a title, and the first that is neither a number nor says what the file is."""
+    words = F.split(F.translate(paths.stem(F.col("filename")), "_-", "  "), " ")
+    title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
+    firm = F.try_element_at(F.filter(words, lambda w: (w != "") & ~F.lower(w).isin(_NO_FIRM) & ~w.rlike("^[0-9]+$")), F.lit(1))
+    return files(s, d).select("id", title.alias("label"), firm.alias("firm"))
 
 
 @query(CTE + f"SELECT id, CASE WHEN {'(' + _case(LANGUAGE, 'Unknown') + ')'} <> 'Unknown' THEN 'code' WHEN starts_with(mime_type, 'image/') AND image_width = image_height THEN 'icon' WHEN starts_with(mime_type, 'image/') THEN 'picture' WHEN starts_with(mime_type, 'audio/') OR starts_with(mime_type, 'video/') THEN 'media' ELSE 'document' END AS class FROM cur")
@@ -230,9 +238,9 @@ def fn_to_microdata(s, d):
     return files(s, d).where("filename is not null").select("id", html.alias("html"))
 
 
-@query(CTE + "SELECT id, replace(replace(replace(replace(original_path, '%', '%25'), ' ', '%20'), '(', '%28'), ')', '%29') AS url FROM cur WHERE regexp_matches(original_path, '^[A-Za-z0-9/_. ()-]*$')")
+@query(CTE + "SELECT id, replace(url_encode(original_path), '%2F', '/') AS url FROM cur")
 def fn_url_quote(s, d):
-    return files(s, d).where(F.col("original_path").rlike("^[A-Za-z0-9/_. ()-]*$")).select("id", F.replace(ids.quoted(F.col("original_path")), F.lit("%2F"), F.lit("/")).alias("url"))
+    return files(s, d).select("id", F.replace(ids.quoted(F.col("original_path")), F.lit("%2F"), F.lit("/")).alias("url"))
 
 
 @query(CTE + "SELECT session, count(*) AS files, max(n) AS most FROM (SELECT nullif(lower(trim(session_id)), '') AS session, count(*) OVER (PARTITION BY content_hash) AS n FROM cur WHERE content_hash IS NOT NULL) WHERE session IS NOT NULL GROUP BY 1")

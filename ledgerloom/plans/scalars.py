@@ -34,7 +34,10 @@ def fn_path_parts(s, d):
 
 
 #: Folders that name no project.
-GENERIC = ["documents", "downloads", "desktop", "src", "lib", "bin", "build", "dist", "tmp", "temp", "home", "users", "inbox", "vault"]
+GENERIC = [
+    "src", "lib", "bin", "dist", "build", "out", "target", "node_modules", "venv", ".venv", "env", "__pycache__", "scripts", "tests", "test", "docs", "doc", "examples",
+    "static", "public", "assets", "resources", "config", "home", "users", "documents", "downloads", "desktop", "code", "projects", "dev", "work", "repos", "git",
+]
 
 
 @query(
@@ -57,10 +60,17 @@ def fn_sanitize(s, d):
 
 #: Classes of file extensions.
 EXTENSIONS = {
-    "image": "jpg jpeg png gif bmp svg webp heic tiff ico", "document": "pdf doc docx txt md rtf odt", "sheet": "xls xlsx csv ods", "audio": "mp3 wav ogg flac m4a aac", "video": "mp4 mov avi mkv webm",
-    "code": "py js ts java c cpp go rs html css sh sql", "archive": "zip tar gz rar 7z", "data": "json xml yaml yml db sqlite",
-}
-_EXT = {f".{e}": k for k, v in EXTENSIONS.items() for e in v.split()}
+    "image": ["jpg", "jpeg", "png", "gif", "bmp", "webp", "heic", "heif", "svg", "tiff", "ico"],
+    "video": ["mp4", "mov", "avi", "mkv", "webm", "m4v"],
+    "audio": ["mp3", "wav", "ogg", "flac", "aac", "m4a"],
+    "document": ["pdf", "doc", "docx", "rtf", "odt"],
+    "text": ["txt"],
+    "spreadsheet": ["xls", "xlsx"],
+    "data": ["csv", "json", "xml", "yaml", "yml"],
+    "code": ["py", "js", "ts", "jsx", "tsx", "html", "css"],
+    "archive": ["zip", "tar", "gz", "rar", "7z"],
+}
+_EXT = {f".{e}": k for k, v in EXTENSIONS.items() for e in v}
 _EXT_SQL = "CASE lower(file_extension) " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in _EXT.items()) + " ELSE 'other' END"
 
 
@@ -91,8 +101,21 @@ def fn_tokenize(s, d):
 
 
 #: File names that begin with a date, and labels of file names.
-DATES = [r"^\d{4}[-_]\d{2}[-_]\d{2}", r"^\d{8}", r"^\d{2}[-_]\d{2}[-_]\d{4}", r"^\d{4}[-_]\d{2}"]
-NAMES = {"screenshot": "screenshot|capture|bildschirmfoto", "photo": r"^(img|dsc|pxl|dcim)[_-]?\d+", "invoice": "invoice|rechnung|factura", "copy": r"\(\d+\)|copy|kopie", "draft": "draft|entwurf|tmp", "numbered": r"_\d{3}\."}
+DATES = [r"^\d{8}", r"^\d{4}-\d{2}-\d{2}", r"^\d{2}-\d{2}-\d{4}", r"^20\d{2}\d{4}"]
+NAMES = {
+    "screenshot_prefix": r"^screenshot", "img_prefix": r"^img_", "pixel_prefix": r"^pxl_", "dsc_prefix": r"^dsc_", "frame_pattern": r"frame\d*", "sprite_keyword": r"sprite", "texture_keyword": r"texture",
+    "audio_keyword": r"audio|sound|sfx", "music_keyword": r"music|bgm|ost", "icon_keyword": r"icon", "button_keyword": r"button", "tile_keyword": r"tile", "environment_keyword": r"wall|floor|door",
+    "character_keyword": r"character|player|enemy", "weapon_keyword": r"weapon|sword|bow|axe", "item_keyword": r"item|potion|scroll", "ui_prefix": r"ui_|gui_|hud_", "timestamp_pattern": r"\d{8}_\d{6}",
+    "whatsapp_keyword": r"whatsapp", "chatgpt_keyword": r"chatgpt", "financial_keyword": r"invoice|receipt", "legal_keyword": r"contract|agreement", "employment_keyword": r"resume|cv",
+}
+_SUFFIX_SQL = r"lower(regexp_extract(filename, '^.+(\.[^.]+)$', 1))"
+LABELS_SQL = "list_concat(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(filename), '{p}') THEN '{k}' END" for k, p in NAMES.items()) + f"], lambda x: x IS NOT NULL), CASE WHEN {_SUFFIX_SQL} <> '' THEN ['ext:' || {_SUFFIX_SQL}] ELSE [] END)"
+
+
+def name_patterns(name: F.Column) -> F.Column:
+    """Labels of a file name, with its extension as the last."""
+    ext = F.lower(paths.suffix(name))
+    return F.concat(text.labels(F.lower(name), NAMES), F.when(ext != "", F.array(F.concat(F.lit("ext:"), ext))).otherwise(F.array().cast("array<string>")))
 
 
 @query(CTE + "SELECT id, regexp_matches(filename, '" + "|".join(f"(?:{p})" for p in DATES) + "') AS dated FROM cur")
@@ -100,9 +123,9 @@ def fn_starts_with_date(s, d):
     return files(s, d).select("id", text.matches_any(F.col("filename"), DATES).alias("dated"))
 
 
-@query(CTE + "SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(filename), '{p}') THEN '{k}' END" for k, p in NAMES.items()) + "], lambda x: x IS NOT NULL), ',') AS labels FROM cur")
+@query(CTE + f"SELECT id, array_to_string({LABELS_SQL}, ',') AS labels FROM cur WHERE filename IS NOT NULL")
 def fn_patterns_of_name(s, d):
-    return files(s, d).select("id", F.array_join(text.labels(F.lower("filename"), NAMES), ",").alias("labels"))
+    return files(s, d).where("filename is not null").select("id", F.array_join(name_patterns(F.col("filename")), ",").alias("labels"))
 
 
 @query("SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) / 3)::INT AS the, ((length(text) - length(replace(text, 'office', ''))) / 6)::INT AS office FROM documents")
@@ -206,13 +229,26 @@ def fn_schema_get(s, d):
     return table(s, d, "organization_sessions").select("id", j).distinct().select("id", F.coalesce(F.json_array_length(j), F.lit(0)).cast("bigint").alias("n"), F.get_json_object(j, "$[0]").alias("first"))
 
 
-@query(CTE + "SELECT id, filename FROM cur WHERE NOT ((starts_with(filename, '.') AND filename NOT IN ('.gitignore', '.env.example')) OR filename IN ('Thumbs.db', 'desktop.ini') OR list_has_any(string_split(original_path, '/'), ['node_modules', '.git', 'shelf000001']))")
+#: What a scan leaves out, and hidden files that it keeps.
+SKIP_FILES = [".DS_Store", ".localized", "Thumbs.db", "desktop.ini"]
+SKIP_FOLDERS = ["__pycache__", ".git", "node_modules", ".venv", "venv"]
+KEEP_HIDDEN = [".gitignore", ".env.example"]
+_in = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
+@query(CTE + f"SELECT id, filename FROM cur WHERE NOT ((starts_with(filename, '.') AND filename NOT IN ({_in(KEEP_HIDDEN)})) OR filename IN ({_in(SKIP_FILES)}) OR list_has_any(string_split(original_path, '/'), [{_in(SKIP_FOLDERS)}]))")
 def flt_skip(s, d):
-    out = paths.hidden_or_system(F.col("filename"), F.col("original_path"), [".gitignore", ".env.example"], ["Thumbs.db", "desktop.ini"], ["node_modules", ".git", "shelf000001"])
+    out = paths.hidden_or_system(F.col("filename"), F.col("original_path"), KEEP_HIDDEN, SKIP_FILES, SKIP_FOLDERS)
     return files(s, d).where(~out).select("id", "filename")
 
 
-_GENERIC = [r"^(img|dsc|pxl|image|photo|download|untitled|att|scan|document)[ _-]?\(?\d*\)?$", r"^\d+$", r"^[0-9a-f]{8,}$"]
+#: Names that say nothing; they are held against the lower-cased stem, so those with capitals never match.
+_GENERIC = [
+    r"^IMG_\d+", r"^DSC_\d+", r"^PXL_\d+", r"^DCIM_\d+", r"^\d{8}_\d{6}", r"^\d{4}-\d{2}-\d{2}", r"^Screenshot\s+\d{4}", r"^\d+$", r"^[a-f0-9]{32}",
+    r"^unnamed\(\d+\)", r"^image\(\d+\)", r"^photo\(\d+\)", r"^file\(\d+\)", r"^\d{13}", r"^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}",
+]
+#: Names that a renaming gave, in whatever case.
+_RENAMED = [r"^\d{8}_\d{6}(_\d+)?\.(jpg|jpeg|png|webp|gif|bmp|heic)$", r"^\d{8}_[A-Za-z_]+_\d{6}(_\d+)?\.(jpg|jpeg|png|webp|gif|bmp|heic)$", r"^Screenshot_.*\.(jpg|jpeg|png|webp|gif|bmp|heic)$"]
 
 
 @query(CTE + r"SELECT id, filename FROM cur WHERE regexp_matches(regexp_replace(lower(filename), '^(.+)\.[^.]+$', '\1'), '" + "|".join(f"(?:{p})" for p in _GENERIC) + "')")
@@ -220,9 +256,9 @@ def flt_generic_name(s, d):
     return files(s, d).where(text.matches_any(paths.stem(F.lower("filename")), _GENERIC)).select("id", "filename")
 
 
-@query(CTE + r"SELECT id, filename FROM cur WHERE regexp_matches(filename, '(?i)^\d{8}_|_\d{3}\.|bildschirmfoto')")
+@query(CTE + "SELECT id, filename FROM cur WHERE regexp_matches(filename, '(?i)" + "|".join(f"(?:{p})" for p in _RENAMED) + "')")
 def flt_renamed(s, d):
-    return files(s, d).where(F.col("filename").rlike(r"(?i)^\d{8}_|_\d{3}\.|bildschirmfoto")).select("id", "filename")
+    return files(s, d).where(F.col("filename").rlike("(?i)" + "|".join(f"(?:{p})" for p in _RENAMED))).select("id", "filename")
 
 
 @query(CTE + "SELECT id, lower(file_extension) AS ext FROM cur WHERE lower(file_extension) ILIKE '.p%'")
@@ -268,33 +304,77 @@ def win_argmax_first(s, d):
     return table(s, d, "documents").select("doc_id", F.when(best["n"] > 0, best["k"]).alias("best"))
 
 
-_COMPANY = r"[A-Z][\w&]*(?: (?:& )?[A-Z][\w&]*)* (?:Ltd|Inc|LLC|GmbH|Corp|BV|SA)\b"
+#: Legal forms behind the names of firms, the places where persons are named, and texts that tell who belongs to which firm.
+_FIRM = r"\b([A-Z][A-Za-z0-9\s&\-\.]{2,50})\s+"
+COMPANIES = [_FIRM + form for form in (r"LLC\b", r"L\.L\.C\.\b", r"Inc\.?\b", r"Incorporated\b", r"Corp\.?\b", r"Corporation\b", r"Company\b", r"Co\.\b", r"Ltd\.?\b", r"Limited\b", r"LLP\b", r"L\.L\.P\.\b")]
+PEOPLE = [
+    (r"\b([A-Z][a-z]+)\s+([A-Z][a-z]+)\s+(?:Resume|CV|Cover Letter)\b", 2),
+    (r"\b([A-Z][a-z]+)\s+([A-Z][a-z]+)\s+(?:Portfolio|Biography|Bio)\b", 2),
+    (r"\b(?:Name|Contact|From|To|Attn|Author|Client|Patient|Student):\s+([A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+)\b", 1),
+    (r"\b([A-Z][a-z]+\s+[A-Z][a-z]+)\s+<[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}>", 1),
+    (r"\b(?:Prepared|Written|Submitted|Signed)\s+(?:by|for):\s+([A-Z][a-z]+\s+[A-Z][a-z]+)\b", 1),
+    (r"\b([A-Z][a-z]+\s+[A-Z][a-z]+),?\s+(?:MD|PhD|Esq|DDS|CPA|MBA|JD|RN)\b", 1),
+    (r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\s+([A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+)\b", 1),
+    (r"\b(?:Attendee|Participant|Speaker|Presenter):\s+([A-Z][a-z]+\s+[A-Z][a-z]+)\b", 1),
+]
+_WHO, _WHICH = r"([A-Z][a-z]+\s+[A-Z][a-z]+)", r"([A-Z][A-Za-z0-9\s&\-\.]{2,50}(?:\s+LLC|\s+Inc\.?|\s+Corp\.?|\s+Ltd\.?|\s+LLP))"
+RELATIONS = [
+    _WHO + r"\s+(?:at|from)\s+" + _WHICH,
+    _WHO + r",?\s+(?:CEO|CFO|CTO|COO|President|Director|Manager|Founder)\s+(?:of|at)\s+" + _WHICH,
+    _WHICH + r"\s*[-:]\s*(?:Contact|Representative):\s*" + _WHO,
+    _WHO + r"\s+\(" + _WHICH + r"\)",
+    _WHO + r"\s+<[a-zA-Z0-9._%+-]+@([a-zA-Z0-9.-]+)\.[a-zA-Z]{2,}>",
+]
+_MAIL_HOSTS = ["gmail", "yahoo", "hotmail", "outlook", "mail"]
+_PLAIN_SQL = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_UNIQUE_SQL = "list_filter({0}, lambda x, i: length(x) > 2 AND list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
 
 
-@query(f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_COMPANY}')) AS company FROM documents")
-def fn_company_names(s, d):
-    """Names with a legal form in texts, each once per document."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(_COMPANY), F.lit(0)))
-    return table(s, d, "documents").select("doc_id", F.explode(found).alias("company"))
+def _found_sql(parts: list[str]) -> str:
+    return "(SELECT doc_id, list_transform(flatten([" + ", ".join(parts) + "]), lambda x: " + _PLAIN_SQL.format("x") + ") AS l FROM documents)"
 
 
-_PERSON = r"(?:with|informed|although|wishes,\n|regards,\n) ?([A-Z][a-z]+ [A-Z][a-z]+)"
+_COMPANY_SQL = _found_sql([f"regexp_extract_all(text, '{p}', 1)" for p in COMPANIES])
+_PEOPLE_SQL = _found_sql([f"regexp_extract_all(text, '{p}', 1)" if n == 1 else f"list_transform(list_zip(regexp_extract_all(text, '{p}', 1), regexp_extract_all(text, '{p}', 2)), lambda z: z[1] || ' ' || z[2])" for p, n in PEOPLE])
 
 
-@query(f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_PERSON}', 1)) AS person FROM documents")
-def fn_people_names(s, d):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(_PERSON), F.lit(1)))
-    return table(s, d, "documents").select("doc_id", F.explode(found).alias("person"))
+def company_names(t: F.Column) -> F.Column:
+    """Names before a legal form, pattern after pattern, each once in whatever case."""
+    return text.unique_names(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in COMPANIES])))
 
 
-_RELATION = r"([A-Z][a-z]+ [A-Z][a-z]+)\nfor ([^\n]+)"
+def people_names(t: F.Column) -> F.Column:
+    get = lambda p, i: F.regexp_extract_all(t, F.lit(p), F.lit(i))
+    return text.unique_names(F.flatten(F.array(*[get(p, 1) if n == 1 else F.zip_with(get(p, 1), get(p, 2), lambda a, b: F.concat_ws(" ", a, b)) for p, n in PEOPLE])))
 
 
-@query(f"SELECT doc_id, regexp_extract(text, '{_RELATION}', 1) AS person, regexp_extract(text, '{_RELATION}', 2) AS company FROM documents WHERE regexp_matches(text, '{_RELATION}')")
+@query(f"SELECT doc_id, unnest({_UNIQUE_SQL.format('l')}) AS company FROM {_COMPANY_SQL}")
+def fn_company_names(s, d):
+    """Names with a legal form in texts, each once per document."""
+    return table(s, d, "documents").select("doc_id", F.explode(company_names(F.col("text"))).alias("company"))
+
+
+@query(f"SELECT doc_id, unnest({_UNIQUE_SQL.format('l')}) AS person FROM {_PEOPLE_SQL}")
+def fn_people_names(s, d):
+    """Names of persons in texts, each once per document."""
+    return table(s, d, "documents").select("doc_id", F.explode(people_names(F.col("text"))).alias("person"))
+
+
+@query(
+    "WITH hits AS (SELECT doc_id, text, unnest(flatten([" + ", ".join(f"list_zip(regexp_extract_all(text, '{p}', 1), regexp_extract_all(text, '{p}', 2))" for p in RELATIONS) + "])) AS h, generate_subscripts(flatten([" + ", ".join(f"list_zip(regexp_extract_all(text, '{p}', 1), regexp_extract_all(text, '{p}', 2))" for p in RELATIONS) + "]), 1) AS n FROM documents),\n"
+    + f"names AS (SELECT doc_id, n, contains(text, '@') AS mail, {_PLAIN_SQL.format('h[1]')} AS person, {_PLAIN_SQL.format('h[2]')} AS c, string_split({_PLAIN_SQL.format('h[2]')}, '.')[1] AS host FROM hits),\n"
+    + f"firms AS (SELECT doc_id, n, person, CASE WHEN mail AND contains(c, '.') AND lower(host) NOT IN ({_in(_MAIL_HOSTS)}) THEN upper(host[1]) || lower(host[2:]) ELSE c END AS company FROM names)\n"
+    + "SELECT doc_id, person, company FROM firms WHERE length(person) > 2 AND length(company) > 2 QUALIFY row_number() OVER (PARTITION BY doc_id, person ORDER BY n DESC) = 1"
+)
 def fn_person_company(s, d):
-    """Signatures that name a person and the firm signed for."""
-    hit = table(s, d, "documents").where(F.col("text").rlike(_RELATION))
-    return hit.select("doc_id", F.regexp_extract("text", _RELATION, 1).alias("person"), F.regexp_extract("text", _RELATION, 2).alias("company"))
+    """Who belongs to which firm; the last relation found of a person holds. In the third form the firm stands first, as in the lists that the results go into."""
+    t = F.col("text")
+    pairs = F.flatten(F.array(*[F.arrays_zip(F.regexp_extract_all(t, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(p), F.lit(2)).alias("b")) for p in RELATIONS]))
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    each = table(s, d, "documents").select("doc_id", F.contains(t, F.lit("@")).alias("mail"), F.posexplode(pairs).alias("n", "h")).select("doc_id", "n", "mail", plain(F.col("h")["a"]).alias("person"), plain(F.col("h")["b"]).alias("c"))
+    host = F.split("c", r"\.")[0]
+    named = each.withColumn("company", F.when(F.col("mail") & F.contains("c", F.lit(".")) & ~F.lower(host).isin(_MAIL_HOSTS), F.concat(F.upper(F.substring(host, 1, 1)), F.lower(F.substring(host, F.lit(2), F.length(host))))).otherwise(F.col("c")))
+    return named.where("length(person) > 2 and length(company) > 2").groupBy("doc_id", "person").agg(F.max_by("company", "n").alias("company"))
 
 
 @query(r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\w+'), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^\d+$'))[:3], '_') AS words FROM documents".replace(r"'\w+'", "'[A-Za-z0-9_]+'"))
