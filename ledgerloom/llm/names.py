@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import group_pairs
+from ledgerloom.operators.joins import lookup_join
 from ledgerloom.session import Workspace
 
 #: Common short forms of given names in English and German use; some stand for several names.
@@ -135,11 +136,23 @@ def _matched(a: list[str], b: list[str], same) -> bool:
 
 def _run_together(one: str, other: list[str]) -> bool:
     if len(other) > 4:
-        return False
+        return _in_some_order(one, other, "", False)
     joined = ("".join(p[:i]) + ("and" if i else "") + "".join(p[i:]) for p in permutations(other) for i in range(len(p)))
     return any(alike(one, x) for x in joined)
 
 
+def _in_some_order(one: str, left: list[str], made: str, linked: bool) -> bool:
+    """The same for many tokens: orders are given up as soon as what they have made is more than a slip from the beginning of ``one``."""
+    if not left:
+        return alike(one, made)
+    for i, t in enumerate(left):
+        for glue in ("", "and") if made and not linked else ("",):
+            now = made + glue + t
+            if t not in left[:i] and len(now) <= len(one) + 1 and lcs(now, one[: len(now) + 1]) >= len(now) - 1 and _in_some_order(one, left[:i] + left[i + 1 :], now, linked or bool(glue)):
+                return True
+    return False
+
+
 def clash(a: str, b: str) -> bool:
     """Middle letters that contradict each other (both forms of two or more full tokens)."""
     (ta, ia), (tb, ib) = a.split("|"), b.split("|")
@@ -229,20 +242,18 @@ def fine_keys(kind: str, form: str, suffix: str) -> set[tuple[str, str]]:
     return out
 
 
-def joined_keys(kind: str, form: str) -> set[tuple[str, str]]:
-    """(role, key) by which a token that may be others run together (ask) meets the first or the last of them (answer).
+def joined_keys(reps: DataFrame) -> DataFrame:
+    """(kind, rep, role, h) by which a token that may be others run together (ask) meets the first or the last of them (answer).
 
-    One slip leaves the first or the last one whole, unless it swaps the letters between them.
+    One slip leaves the first or the last one whole, unless it swaps the letters between them. ``h`` is a hash of the key.
     """
-    text, letters = form.split("|")
-    tokens, out = text.split(), set()
-    if kind == "company" or (len(tokens) == 1 and not letters):
-        for t in tokens:
-            for i in range(1, len(t)):
-                out |= {("ask", "^" + t[:i]), ("ask", "$" + t[i:]), ("ask", "^" + t[: i - 1] + t[i])}
-    if len(tokens) > 1:
-        out |= {("answer", end + x) for x in [*tokens, *letters] for end in "^$"}
-    return out
+    parts = reps.selectExpr("kind", "rep", "split(split(form, '[|]')[0], ' ') as tokens", "split(form, '[|]')[1] as letters")
+    alone = parts.where("kind = 'company' or (size(tokens) = 1 and letters = '')").selectExpr("kind", "rep", "explode(tokens) as t").where("length(t) > 1")
+    cuts = alone.selectExpr("kind", "rep", "t", "explode(sequence(1, length(t) - 1)) as i")
+    asks = cuts.selectExpr("kind", "rep", "'ask' as role", "explode(array(concat('^', substring(t, 1, i)), concat('$', substring(t, i + 1)), concat('^', substring(t, 1, i - 1), substring(t, i + 1, 1)))) as key")
+    held = parts.where("size(tokens) > 1").selectExpr("kind", "rep", "explode(concat(tokens, filter(split(letters, ''), x -> x <> ''))) as t")
+    answers = held.selectExpr("kind", "rep", "'answer' as role", "explode(array(concat('^', t), concat('$', t))) as key")
+    return asks.unionByName(answers).select("kind", "rep", "role", F.xxhash64(F.lit(""), F.col("key")).alias("h"))
 
 
 def finer_keys(form: str, suffix: str, key: str) -> set[str]:
@@ -274,12 +285,6 @@ def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["kind", "rep", "form", "suffix", "role", "key"])
 
 
-def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(k, r, f, "", *x) for k, r, f in zip(b["kind"], b["rep"], b["form"]) for x in joined_keys(k, f)]
-        yield pd.DataFrame(rows, columns=["kind", "rep", "form", "suffix", "role", "key"])
-
-
 def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(k, r, f, s, x) for k, r, f, s, key in zip(b["kind"], b["rep"], b["form"], b["suffix"], b["key"]) for x in finer_keys(f, s, key)]
@@ -297,19 +302,36 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["kind", "a", "b", "sure", "short", "first"])
 
 
-def variants(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Pairs (kind, a, b) with a < b of rows (kind string: company or else a person; id bigint; name string; mail string; further columns are ignored) whose names mean the same.
+def _looks() -> list[F.Column]:
+    """What pairs are told apart by before they are compared: number of tokens, letters as a set of bits, whether a short name or one that has such is among the tokens."""
+    tokens = F.split(F.split("form", "[|]")[0], " ")
+    bits = F.aggregate(F.array_distinct(F.split(F.array_join(tokens, ""), "")), F.lit(0).cast("bigint"), lambda b, c: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(61)))))
+    known = F.array(*[F.lit(x) for x in sorted({*NICK, *(n for v in NICK.values() for n in v)})])
+    return [F.size(tokens).alias("tokens"), bits.alias("bits"), F.arrays_overlap(tokens, known).alias("nick")]
+
+
+def _may_match() -> F.Column:
+    """Holds of all pairs that ``same_person`` or ``same_company`` can take: a slip changes the set of letters by two at most, tokens run together may have lost an "and"."""
+    changed = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    a, b = F.col("tokens_a"), F.col("tokens_b")
+    firms = changed <= 2 * F.least(a, b) + F.when(a != b, 3).otherwise(0)
+    persons = F.when((a > 1) & (b > 1), (a == b) & (F.col("nick_a") | F.col("nick_b") | (changed <= 2 * a))).otherwise(True)
+    return F.when(F.col("kind") == "company", firms).otherwise(persons)
+
+
+def classes(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """kind, group, id, form of the rows (kind string: company or else a person; id bigint; name string; mail string; further columns are ignored): one group for all whose names mean the same.
 
     Null and blank names, and names without a letter or digit, match nothing. Rows of equal names are one form; only distinct forms are blocked and
-    compared, and all pairs of rows are expanded at the very end. Blocks are suffixes of tokens; those that more than BLOCK
+    compared. Blocks are suffixes of tokens; those that more than BLOCK
     forms share are refined by what another token of a match has to share (it without one letter, its full names), if need be by two,
     and by the first letter for forms with letters for given names. None is discarded. Pairs are compared token by token by the ratio of their longest common
     subsequence. A form with letters for given names joins a full one if all full ones that it fits have one given name,
-    or else those that share its mail address. Matches are closed over chains, except for pairs whose middle letters clash.
+    or else those that share its mail address. Matches are closed over chains; ``group`` is the smallest id of the group's first form.
     """
     work = Workspace(spark, "names")
     text = rows.select("kind", F.col("id").cast("bigint").alias("id"), "name", F.nullif(F.trim(F.lower("mail")), F.lit("")).alias("mail")).where("kind is not null and id is not null")
-    forms = work.table(text.mapInPandas(_forms, "kind string, id bigint, mail string, form string"), "forms")
+    forms, n = work.write(text.mapInPandas(_forms, "kind string, id bigint, mail string, form string"), "forms", rows=F.count(F.lit(1)))
     reps = work.table(forms.groupBy("kind", "form").agg(F.min("id").alias("rep")), "reps")
     keys = work.table(reps.mapInPandas(_suffixes, "kind string, rep bigint, form string, suffix string"), "keys")
     sizes = work.table(keys.groupBy("kind", "suffix").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
@@ -320,27 +342,35 @@ def variants(spark: SparkSession, rows: DataFrame) -> DataFrame:
     by = ["kind", "suffix", "key"]
     wide = work.table(same.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).where((F.col("size") > BLOCK) & (F.split("key", r"\|")[0].cast("int") > 2)).select(*by), "wide")
     finer = same.join(wide, by, "left_semi").select("kind", "rep", "form", "suffix", "key").mapInPandas(_finer, "kind string, rep bigint, form string, suffix string, key string").distinct()
-    whole = lambda df: df.select("kind", F.concat_ws("|", "suffix", "key").alias("key"), "rep", "form")
+    # keys as hashes: two keys of one hash only make a pair more to compare
+    whole = lambda df: df.select("kind", F.xxhash64("suffix", "key").alias("h"), "rep")
+    coarse = coarse.select("kind", F.xxhash64("key").alias("h"), "rep")
     block = work.table(reduce(DataFrame.unionByName, [coarse, whole(same.join(wide, by, "left_anti")), whole(finer)]), "blocks")
-    side = lambda df, c: df.select("kind", "key", F.col("rep").alias(c), F.col("form").alias(f"form_{c}"))
-    cols = ["kind", "a", "b", "form_a", "form_b"]
-    pairs = side(block, "a").join(side(block, "b"), ["kind", "key"]).where("a < b").select(*cols)
-    links = fine.where("role <> 'same'").unionByName(work.table(reps.mapInPandas(_joined, fine.schema), "joined"))
-    asked = side(whole(links.where("role = 'ask'")), "a").join(side(whole(links.where("role = 'answer'")), "b"), ["kind", "key"])
-    # tokens run together make a shorter form
-    asked = asked.where("a <> b and (kind <> 'company' or length(form_a) - length(replace(form_a, ' ', '')) < length(form_b) - length(replace(form_b, ' ', '')))")
-    turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("form_a", "form_b"), ("form_b", "form_a"))]
-    pairs = pairs.unionByName(asked.select("kind", *turned)).distinct()
+    side = lambda df, c: df.select("kind", "h", F.col("rep").alias(c))
+    pairs = side(block, "a").join(side(block, "b"), ["kind", "h"]).where("a < b").select("kind", "a", "b")
+    links = fine.where("role <> 'same'").select("kind", "rep", "role", F.xxhash64("suffix", "key").alias("h")).unionByName(joined_keys(reps))
+    asked = side(links.where("role = 'ask'"), "a").join(side(links.where("role = 'answer'"), "b"), ["kind", "h"]).where("a <> b")
+    pairs = pairs.unionByName(asked.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    looks = work.table(reps.select("kind", "rep", "form", *_looks()), "looks")
+    end = lambda c: looks.select("kind", *[F.col(x).alias(c if x == "rep" else f"{x}_{c}") for x in looks.columns if x != "kind"])
+    pairs = pairs.join(end("a"), ["kind", "a"]).join(end("b"), ["kind", "b"]).where(_may_match()).select("kind", "a", "b", "form_a", "form_b")
     found = work.table(pairs.mapInPandas(_compare, "kind string, a bigint, b bigint, sure int, short bigint, first string"), "found")
     weak = found.where("sure = 1")
     names = weak.groupBy("kind", "short").agg(F.min("first").alias("low"), F.max("first").alias("high"))
     one = names.where((F.col("low") == F.col("high")) | (F.levenshtein("low", "high") <= F.when(F.least(F.length("low"), F.length("high")) >= 6, 2).otherwise(1))).select("kind", "short")
-    mails = forms.join(reps, ["kind", "form"]).where("mail is not null").select("kind", "rep", "mail").distinct()
-    shared = weak.join(mails.withColumnsRenamed({"rep": "a"}), ["kind", "a"]).join(mails.withColumnsRenamed({"rep": "b", "mail": "mail_b"}), ["kind", "b"]).where("mail = mail_b")
+    # a form on a third of all rows is a hot key of this join
+    numbered = work.table(lookup_join(forms, reps, ["kind", "form"], "inner", n["rows"]), "numbered")
+    mails = work.table(numbered.where("mail is not null").select("kind", "rep", "mail").distinct(), "mails")
+    shared = weak.join(mails.withColumnRenamed("rep", "a"), ["kind", "a"]).join(mails.withColumnRenamed("rep", "b"), ["kind", "b", "mail"])
     sure = found.where("sure = 2").select("kind", "a", "b").unionByName(weak.join(one, ["kind", "short"], "left_semi").select("kind", "a", "b")).unionByName(shared.select("kind", "a", "b"))
     groups = work.table(group_pairs(spark, sure), "groups")
-    tagged = forms.join(reps, ["kind", "form"]).join(groups.withColumnRenamed("id", "rep"), ["kind", "rep"], "left").select("kind", F.coalesce("group", "rep").alias("group"), "id", "form")
-    tagged = work.table(tagged, "tagged")
+    tagged = lookup_join(numbered, groups.withColumnRenamed("id", "rep"), ["kind", "rep"], "left", n["rows"]).select("kind", F.coalesce("group", "rep").alias("group"), "id", "form")
+    return work.table(tagged, "tagged")
+
+
+def variants(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Pairs (kind, a, b) with a < b of the rows of one class (see ``classes``), except for pairs whose middle letters clash; expanded at the very end."""
+    tagged = classes(spark, rows)
     middle = lambda c: F.when(F.split(c, r"\|")[0].contains(" "), F.nullif(F.split(c, r"\|")[1], F.lit("")))
     a, b = (tagged.select("kind", "group", F.col("id").alias(c), middle("form").alias(f"mid_{c}")) for c in "ab")
     # blocks of a hot group are split over tasks by the skew join

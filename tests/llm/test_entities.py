@@ -182,3 +182,21 @@ def test_no_hot_block_is_discarded(spark, monkeypatch):
 @pytest.mark.parametrize("empty", [True])
 def test_variants_of_nothing(spark, empty):
     assert names.variants(spark, spark.createDataFrame([], "kind string, id bigint, name string, mail string")).count() == 0
+
+
+def test_names_of_many_tokens_run_together():
+    many = "alba birk corvo dunst elmar"
+    assert names.same_company(f"{many}|", "albabirkcorvodunstelmar|") == (2, "") and names.same_company(f"{many}|", "corvoalbaandbirkelmardunzt|") == (2, "")
+    assert names.same_company(f"{many}|", "albabirkcorvodunst|") == (0, "")
+
+
+def test_no_match_is_filtered_before_the_comparison(spark):
+    forms = [("company", names.company_form(f)) for f in FIRMS.values() if names.company_form(f or "")] + [("person", names.person_form(p)) for p in PEOPLE.values() if names.person_form(p or "")]
+    forms = [(k, i, f) for i, (k, f) in enumerate(forms) if f]
+    reps = spark.createDataFrame(forms, "kind string, rep bigint, form string").select("kind", "rep", "form", *names._looks())
+    ends = [reps.select("kind", *[F.col(x).alias(f"{x}_{c}") for x in reps.columns if x != "kind"]) for c in "ab"]
+    kept = {(r.rep_a, r.rep_b) for r in ends[0].join(ends[1], "kind").where("rep_a < rep_b").where(names._may_match()).collect()}
+    for k, i, a in forms:
+        for l, j, b in forms:
+            if k == l and i < j and (names.same_company if k == "company" else names.same_person)(a, b)[0]:
+                assert (i, j) in kept
