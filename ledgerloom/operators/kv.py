@@ -49,3 +49,30 @@ def hash_fields(table: DataFrame, now: Column) -> DataFrame:
     pair = F.struct(F.substring_index("key", ":", -1).alias("field"), F.when(alive(now), F.col("value")).alias("value"))
     name = F.regexp_extract("key", "^(.*):[^:]*$", 1).alias("name")
     return table.where(F.col("key").contains(":")).groupBy("namespace", name).agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("fields"))
+
+
+def delete(table: DataFrame, namespace: str, keys: list[str]) -> DataFrame:
+    return table.where(~((F.col("namespace") == namespace) & F.col("key").isin(keys)))
+
+
+def flush(table: DataFrame, namespace: str | None = None) -> DataFrame:
+    """Without the keys of a namespace, or of all."""
+    return table.where(F.lit(False)) if namespace is None else table.where(F.col("namespace") != namespace)
+
+
+def expire(table: DataFrame, namespace: str, keys: list[str], until: Column | None) -> DataFrame:
+    """Keys with an end of life, or, with None, without one (persist)."""
+    hit = (F.col("namespace") == namespace) & F.col("key").isin(keys)
+    return table.withColumn("expires_at", F.when(hit, F.lit(None).cast("timestamp_ntz") if until is None else until).otherwise(F.col("expires_at")))
+
+
+def fields(table: DataFrame, namespace: str, name: str, now: Column) -> DataFrame:
+    """The fields of a hash, a row each (hgetall without one map for all): field, value of those alive."""
+    own = table.where((F.col("namespace") == namespace) & F.col("key").startswith(f"{name}:") & alive(now))
+    return own.select(F.substring(F.col("key"), F.lit(len(name) + 2), F.length("key")).alias("field"), "value")
+
+
+def set_fields(table: DataFrame, namespace: str, name: str, new: DataFrame) -> DataFrame:
+    """``table`` with the fields (field, value) of a hash set; other columns of new rows are null, older values of the same fields go."""
+    rows = new.select(F.lit(namespace).alias("namespace"), F.concat(F.lit(f"{name}:"), "field").alias("key"), "value")
+    return table.join(rows.select("namespace", "key"), ["namespace", "key"], "left_anti").unionByName(rows, allowMissingColumns=True)

@@ -297,15 +297,17 @@ def agg_aggregate_stats(s, d):
 
 @query(
     _RUNS
-    + ", r AS (SELECT *, round(100.0 * organized_count / total_files, 1) AS rate FROM runs), w AS (SELECT *, row_number() OVER o AS n, lag(total_files) OVER o AS f, lag(organized_count) OVER o AS g, lag(rate) OVER o AS h FROM r WINDOW o AS (ORDER BY started_at, id))"
-    + " SELECT id, n = 1 AS is_first, CASE WHEN n = 1 THEN total_files ELSE total_files - f END AS files_delta, CASE WHEN n = 1 THEN organized_count ELSE organized_count - g END AS organized_delta, round(rate - h, 1) AS rate_delta FROM w"
+    + ", r AS (SELECT *, round(100.0 * organized_count / total_files, 1) AS rate FROM runs), w AS (SELECT *, row_number() OVER o AS n, lag(total_files) OVER o AS f, lag(organized_count) OVER o AS g, lag(rate) OVER o AS h, lag(total_cost) OVER o AS c0, lag(total_processing_time_sec) OVER o AS t0 FROM r WINDOW o AS (ORDER BY started_at, id))"
+    + " SELECT id, n = 1 AS is_first, CASE WHEN n = 1 THEN total_files ELSE total_files - f END AS files_delta, CASE WHEN n = 1 THEN organized_count ELSE organized_count - g END AS organized_delta, round(rate - h, 1) AS rate_delta, CASE WHEN n > 1 THEN round(coalesce(total_cost, 0)::DECIMAL(18,6) - coalesce(c0, 0)::DECIMAL(18,6), 4)::DOUBLE END AS cost_delta, CASE WHEN n > 1 THEN round(coalesce(total_processing_time_sec, 0)::DECIMAL(18,6) - coalesce(t0, 0)::DECIMAL(18,6), 2)::DOUBLE END AS time_delta FROM w"
 )
 def win_session_lag(s, d):
     """Changes against the session before. There is one row per session here, so one ordered partition holds them."""
     w = W.orderBy("started_at", "id")
     r = _runs(s, d).withColumn("rate", F.round(100.0 * F.col("organized_count") / F.col("total_files"), 1)).withColumn("first", F.row_number().over(w) == 1)
     delta = lambda c: F.when(F.col("first"), F.col(c)).otherwise(F.col(c) - F.lag(c).over(w))
-    return r.select("id", F.col("first").alias("is_first"), delta("total_files").alias("files_delta"), delta("organized_count").alias("organized_delta"), F.round(F.col("rate") - F.lag("rate").over(w), 1).alias("rate_delta"))
+    exact = lambda c: F.coalesce(c, F.lit(0.0)).cast("decimal(18,6)")
+    since = lambda c, n: F.when(~F.col("first"), F.round(exact(F.col(c)) - exact(F.lag(c).over(w)), n).cast("double"))
+    return r.select("id", F.col("first").alias("is_first"), delta("total_files").alias("files_delta"), delta("organized_count").alias("organized_delta"), F.round(F.col("rate") - F.lag("rate").over(w), 1).alias("rate_delta"), since("total_cost", 4).alias("cost_delta"), since("total_processing_time_sec", 2).alias("time_delta"))
 
 
 @query(CTE + "SELECT status, count(*) AS files, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS share, round(count(*) * 1.0 / max(count(*)) OVER (), 4) AS of_max FROM cur WHERE status IS NOT NULL GROUP BY 1")

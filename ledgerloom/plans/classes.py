@@ -12,7 +12,6 @@ from ledgerloom.plans.analytics import _KV, _LOG, _kv, _log
 from ledgerloom.plans.catalog import CTE, _PLACES, files, places
 from ledgerloom.plans.scalars import _CASCADE_SQL, cascade
 from ledgerloom.plans.tables import table
-from ledgerloom.sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,7 +54,7 @@ def _ext_sql(i: int) -> str:
     + f"SELECT id, coalesce({_rule_sql(NAME_RULES, 'category')}, {_ext_sql(0)}, {_rule_sql(PATH_RULES, 'category')}, 'Uncategorized') AS category, coalesce({_rule_sql(NAME_RULES, 'subcategory')}, {_ext_sql(1)}, {_rule_sql(PATH_RULES, 'subcategory')}, 'Other') AS subcategory FROM cur"
 )
 def cls_name(s, d):
-    """cls_name_filename, cls_name_ext, cls_name_path, cls_font, cls_content_folder, fn_dest_simple: by name, then extension, then path."""
+    """cls_name_filename, cls_name_ext, cls_name_path: by name, then extension, then path."""
     other = F.struct(F.lit("Uncategorized").alias("category"), F.lit("Other").alias("subcategory"))
     c = F.coalesce(rules.classified(NAME_RULES), rules.looked_up(F.lower("file_extension"), EXT_RULES), rules.classified(PATH_RULES), other)
     return files(s, d).select("id", c.alias("c")).select("id", "c.category", "c.subcategory")
@@ -67,7 +66,7 @@ _HITS = lambda ws: " + ".join(f"contains(t, '{w}')::INT" for w in ws)  # noqa: E
 
 @query("SELECT doc_id, " + "CASE " + " ".join(f"WHEN {_HITS(ws)} >= 2 THEN '{k}'" for k, ws in _WORDS.items()) + " END AS class FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) >= 50)")
 def cls_org(s, d):
-    """cls_org and cls_person: the first class with two of its keywords in a text of 50 characters or more."""
+    """The first class with two of its keywords in a text of 50 characters or more."""
     return table(s, d, "documents").where(F.length("text") >= 50).select("doc_id", rules.keyword_class(F.lower("text"), _WORDS, 2).alias("class"))
 
 
@@ -226,13 +225,76 @@ def ord_severity(s, d):
     return table(s, d, "events").groupBy(F.concat(F.lit("E"), (F.col("event_id") % 4).cast("string")).alias("error")).agg(F.count(F.lit(1)).alias("n")).orderBy(rank, F.desc("n"), "error")
 
 
-@query()
-def src_dir_scan(s, d):
-    """src_dir_flat, src_batched_scan, org_dirs: a listing of the folder of the tables themselves, without contents."""
-    return readers.listing(s, d, glob="*.parquet").select("filename", "size")
-
-
 @query(CTE + "SELECT count(*) AS rows, count(DISTINCT id) AS ids FROM cur")
 def src_sqlite(s, d):
     """A table scan."""
     return files(s, d).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"))
+
+
+_FONT = "CASE WHEN lower(file_extension) IN ('.ttf', '.otf', '.woff', '.woff2') THEN CASE WHEN regexp_matches(lower(filename), 'bold') THEN 'Bold' WHEN regexp_matches(lower(filename), 'italic|oblique') THEN 'Italic' ELSE 'Regular' END END"
+
+
+@query(CTE + f"SELECT id, {_FONT} AS face FROM cur WHERE filename IS NOT NULL")
+def cls_font(s, d):
+    """Fonts by extension, then by the face in their name."""
+    faces = [Rule("bold", "Fonts", "Bold"), Rule("italic|oblique", "Fonts", "Italic")]
+    face = F.coalesce(rules.classified(faces)["subcategory"], F.lit("Regular"))
+    return files(s, d).where("filename is not null").select("id", F.when(F.lower("file_extension").isin(".ttf", ".otf", ".woff", ".woff2"), face).alias("face"))
+
+
+@query(CTE + "SELECT id, CASE WHEN regexp_matches(lower(original_path), '/(camera|photos?)/') THEN 'Photos' WHEN regexp_matches(lower(original_path), '/(mailroom|inbox)/') THEN 'Mail' WHEN regexp_matches(lower(original_path), '/desk[^/]*/') THEN 'Desk' ELSE 'Elsewhere' END AS place, len(string_split(original_path, '/')) - 2 AS folders FROM cur")
+def cls_filepath(s, d):
+    """A class from the folders that a file lies in."""
+    rs = [Rule("/(camera|photos?)/", "Photos", "", "original_path"), Rule("/(mailroom|inbox)/", "Mail", "", "original_path"), Rule("/desk[^/]*/", "Desk", "", "original_path")]
+    return files(s, d).select("id", F.coalesce(rules.classified(rs)["category"], F.lit("Elsewhere")).alias("place"), (F.size(F.split("original_path", "/")) - 2).cast("bigint").alias("folders"))
+
+
+_ROLES = {"Medical": ["patient", "doctor", "prescription"], "Personal": ["birthday", "passport", "family"], "Letter": ["dear", "regards", "sincerely", "wishes"]}
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN {_HITS(ws)} >= 1 THEN '{k}'" for k, ws in _ROLES.items()) + " END AS class, len(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) > 0 AS names_someone FROM (SELECT doc_id, text, lower(text) AS t FROM documents WHERE length(text) >= 20)")
+def cls_person(s, d):
+    """Texts about persons: the first class with one of its keywords, and whether anyone is named."""
+    t = table(s, d, "documents").where(F.length("text") >= 20)
+    return t.select("doc_id", rules.keyword_class(F.lower("text"), _ROLES, 1).alias("class"), (F.size(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Z][a-z]+"), F.lit(0))) > 0).alias("names_someone"))
+
+
+_FOLDERS = {"ImageObject": "Pictures", "Dataset": "Data", "DigitalDocument": "Papers"}
+_FOLDER_SQL = "CASE schema_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FOLDERS.items()) + " ELSE 'Other' END"
+
+
+@query(CTE + f"SELECT id, 'Sorted/' || {_FOLDER_SQL} || '/' || CASE WHEN extracted_text_length > 0 THEN 'with text' ELSE 'other' END AS folder FROM cur")
+def cls_content_folder(s, d):
+    """fn_dest_simple: class and finer class to a folder, with a folder for the rest."""
+    m = F.create_map(*[F.lit(x) for kv in _FOLDERS.items() for x in kv])
+    return files(s, d).select("id", F.concat_ws("/", F.lit("Sorted"), F.coalesce(F.try_element_at(m, F.col("schema_type")), F.lit("Other")), F.when(F.col("extracted_text_length") > 0, "with text").otherwise("other")).alias("folder"))
+
+
+_TOP_SQL = "list_sort(list_transform(range(0, len(embedding)), lambda i: {'v': -embedding[i + 1], 'i': i}))"
+
+
+@query(f"SELECT vec_id, 'class ' || t[1].i || ' (' || printf('%.2f', -t[1].v) || ') | ' || array_to_string(list_transform(t[2:3], lambda x: 'class ' || x.i), ', ') AS description FROM (SELECT vec_id, {_TOP_SQL} AS t FROM embeddings)")
+def fn_describe_image(s, d):
+    """Best class with its score, then the next two, from a vector of scores (where the scores come from is not this engine's matter)."""
+    top = F.array_sort(F.transform("embedding", lambda x, i: F.struct((-x).alias("v"), i.cast("bigint").alias("i"))))
+    best = F.format_string("class %d (%.2f)", F.col("t")[0]["i"], -F.col("t")[0]["v"].cast("double"))
+    return table(s, d, "embeddings").select("vec_id", top.alias("t")).select("vec_id", F.concat_ws(" | ", best, F.array_join(F.transform(F.slice("t", 2, 2), lambda x: F.concat(F.lit("class "), x["i"].cast("string"))), ", ")).alias("description"))
+
+
+_OUTCOME = "CASE WHEN filename IS NULL THEN 'missing' WHEN schema_type IS NULL THEN 'no type' WHEN starts_with(lower(filename), lower(substr(schema_type, 1, 3))) THEN 'unchanged' ELSE 'renamed' END"
+
+
+@query(CTE + f"SELECT {_OUTCOME} AS outcome, count(*) AS files FROM cur GROUP BY 1")
+def fn_rename_with_descriptions(s, d):
+    """Outcomes of a renaming by description."""
+    f, t = F.col("filename"), F.col("schema_type")
+    outcome = F.when(f.isNull(), "missing").when(t.isNull(), "no type").when(F.startswith(F.lower(f), F.lower(F.substring(t, 1, 3))), "unchanged").otherwise("renamed")
+    return files(s, d).groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(CTE + r"SELECT id, 'Screenshots/' || CASE WHEN regexp_matches(lower(filename), 'capture') THEN 'Captures' ELSE 'Other' END AS folder, CASE WHEN regexp_matches(lower(filename), 'capture') THEN 'cap' ELSE 'shot' END || '_' || substr(md5(filename), 1, 8) || regexp_extract(filename, '^.+(\.[^.]+)$', 1) AS new_name FROM cur WHERE regexp_matches(lower(filename), 'screenshot|bildschirmfoto|capture')")
+def fn_screenshot_plan(s, d):
+    """Folder and a name of prefix, hash and suffix for each screenshot."""
+    low = F.lower("filename")
+    cap = low.rlike("capture")
+    return files(s, d).where(low.rlike("screenshot|bildschirmfoto|capture")).select("id", F.when(cap, "Screenshots/Captures").otherwise("Screenshots/Other").alias("folder"), F.concat(F.when(cap, "cap").otherwise("shot"), F.lit("_"), F.substring(F.md5("filename"), 1, 8), paths.suffix(F.col("filename"))).alias("new_name"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import analytics, catalog, classes, documents, etl, links, scalars, streams
+from ledgerloom.plans import analytics, catalog, classes, documents, etl, files, links, scalars, streams
 
-_MODULES = [catalog, classes, documents, etl, links, scalars, analytics, streams]
+_MODULES = [catalog, classes, documents, etl, files, links, scalars, analytics, streams]
 
 
 def queries() -> dict:
