@@ -95,14 +95,16 @@ def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
     if len(a) > len(b):
         a, b = b, a
-    row = [0] * (len(a) + 1)
+    # a bit for each letter of the shorter one; each letter of the other takes its row of the table in a few operations
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
     for y in b:
-        diag = 0
-        for i, x in enumerate(a, 1):
-            up = row[i]
-            row[i] = diag + 1 if x == y else (up if up >= row[i - 1] else row[i - 1])
-            diag = up
-    return row[-1]
+        if hit := row & at.get(y, 0):
+            row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def alike(a: str, b: str, ratio: float = 0.75) -> bool:
@@ -112,6 +114,8 @@ def alike(a: str, b: str, ratio: float = 0.75) -> bool:
     la, lb = len(a), len(b)
     if abs(la - lb) > 1 or min(la, lb) < 4:
         return False
+    if len(set(a) ^ set(b)) > 2:
+        return False
     n = lcs(a, b)
     return n >= max(la, lb) - 1 and 2 * n >= ratio * (la + lb)
 
@@ -199,6 +203,7 @@ def same_company(a: str, b: str) -> tuple[int, str]:
     return (2, "") if len(rest_a) == 1 and _run_together(rest_a[0], rest_b) else (0, "")
 
 
+@lru_cache(1 << 16)
 def suffixes(token: str) -> set[str]:
     """Suffixes of a token, of the token without its last two letters and of its first three and four (a slip may sit in the rest), and of what a short name stands for."""
     out = set()
@@ -214,6 +219,7 @@ def without_one(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
+@lru_cache(1 << 16)
 def near(token: str) -> set[str]:
     """Keys that tokens share if ``given`` holds of them."""
     return (without_one(token) if len(token) >= 4 else {token}) | NICK.get(token, frozenset())
