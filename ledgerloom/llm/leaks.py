@@ -223,7 +223,7 @@ def align(item: list[str], doc: list[str], low: int, high: int, diagonal: int, b
 
 
 def _dense(item: list[str], doc: list[str], low: int, high: int, diagonal: int, band: int = 10) -> bool:
-    """Whether DENSE of some LEAST words of the item in a row stand near their place in doc[low:high], half of LEAST of them unchanged, the others damaged, joined or split at most."""
+    """Whether DENSE of some LEAST words of the item in a row stand near their place in doc[low:high], or half of LEAST, and the others close by, damaged, joined or split at most."""
     at: dict[str, list[int]] = {}
     for j in range(low, high):
         at.setdefault(doc[j], []).append(j - diagonal)
@@ -231,14 +231,22 @@ def _dense(item: list[str], doc: list[str], low: int, high: int, diagonal: int,
     best = _fullest(hits)
     if best >= DENSE or 2 * best < LEAST:
         return best >= DENSE
+    # damaged words, close to the diagonal
+    close: list[bool] = []
     for i, w in enumerate(item):
-        if not hits[i]:
-            for j in range(max(low, i + diagonal - 3), min(high, i + diagonal + 4)):
-                x = doc[j]
-                if near(w, x) or (j + 1 < high and w == x + doc[j + 1]) or (i + 1 < len(item) and x == w + item[i + 1]) or (i and x == item[i - 1] + w):
-                    hits[i] = True
-                    break
-    return _fullest(hits) >= DENSE
+        here = range(max(low, i + diagonal - 3), min(high, i + diagonal + 4))
+        close.append((hits[i] and any(doc[j] == w for j in here)) or any(_damaged(item, i, doc, j, high) for j in here))
+    return _fullest(close) >= DENSE
+
+
+def _damaged(item: list[str], i: int, doc: list[str], j: int, high: int) -> bool:
+    """Whether doc[j] is item[i] slightly damaged, joined with a neighbour, or its first part."""
+    w, x = item[i], doc[j]
+    if abs(len(w) - len(x)) <= 2:
+        return near(w, x)
+    if len(w) > len(x):
+        return j + 1 < high and w[0] == x[0] and w == x + doc[j + 1]
+    return (i + 1 < len(item) and x == w + item[i + 1]) or (i > 0 and x == item[i - 1] + w)
 
 
 def _fullest(hits: list[bool]) -> int:
