@@ -172,3 +172,82 @@ def test_the_llm_package_is_optional():
 
     code = "import sys; sys.modules['ledgerloom.llm'] = None\nimport __spark_entry__ as e\nassert 'p1_found' in e.queries() and 'p3_found' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+@pytest.mark.parametrize(
+    "name, words",
+    [
+        ("PDFFile.txt", ["pdf", "file"]), ("café_menü.pdf", ["cafe", "menu"]), ("отчёт_2024.pdf", ["отчёт", "2024"]), ("IMG_20240131-Final V2.tar.gz", ["img", "20240131", "final", "tar"]), ("ABCdef12", ["ab", "cdef", "12"]),
+        ("", []), (".bashrc", ["bashrc"]), ("X", []), ("ﬁle_ÄRGER.x", ["file", "rger"]), ("a" * 3000 + ".b", ["a" * 3000]),
+    ],
+)
+def test_words_of_file_names(spark, name, words):
+    import unicodedata
+
+    got = col(spark, paths.tokens(F.col("v")), name)[0]
+    assert got == [unicodedata.normalize("NFKD", w) for w in words]
+
+
+def test_numbers_pass_over_names_that_are_there(spark):
+    names = ["a.txt", "a.txt", "a_1.txt", "a.txt", "a_3.txt", "a_1.txt", "b", "b", "b_1", "c.x", "C.x", "n\nl.t", "n\nl.t"]
+    df = spark.createDataFrame([(i, f, n) for f in ("f", None) for i, n in enumerate(names)], "id int, folder string, name string")
+    out = catalog.numbered_names(spark, df, "folder", "name", [F.col("id")], "new").collect()
+    assert len({(r.folder, r.new) for r in out}) == len(out) == 2 * len(names)
+    one = {r.id: r.new for r in out if r.folder == "f"}
+    assert [one[i] for i in range(9)] == ["a.txt", "a_2.txt", "a_1.txt", "a_4.txt", "a_3.txt", "a_1_1.txt", "b", "b_2", "b_1"]
+    assert catalog.numbered_names(spark, df.where("false"), "folder", "name", [F.col("id")], "new").count() == 0
+
+
+def test_latest_takes_one_row_and_few_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a", 1, "x", "p"), ("a", 2, "y", None), ("a", None, "z", "q"), ("b", None, None, None)], "id string, at int, v string, w string").write.parquet(path)
+    rows_ = catalog.latest(spark.read.parquet(path), ["id"], ["at"], total=False)
+    assert rows(rows_.select("id", "v").fillna("")) == [("a", "y"), ("b", "")]
+    plan = rows_.where("id = 'a'").select("id", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "w#" not in plan and "EqualTo(id,a)" in plan
+    assert rows(catalog.latest(spark.createDataFrame([("a", 1, "x"), ("a", 1, "y")], "id string, at int, v string"), ["id"], ["at"])) == [("a", 1, "y")]
+
+
+def test_names_in_texts(spark):
+    from ledgerloom.plans.scalars import company_names, people_names
+
+    t = "From: Ann Bee\nDr. Cid Dow met Eve Fox, PhD. Prepared by:  Ann   Bee. Gus Hay Resume. Zeta  Works Inc. and ZETA WORKS LLC. Ira Joy <i.joy@kite.example>"
+    assert sorted(col(spark, people_names(F.col("v")), t)[0]) == ["Ann Bee", "Cid Dow", "Eve Fox", "Gus Hay", "Ira Joy"]
+    assert [x.lower() for x in col(spark, company_names(F.col("v")), "Zeta  Works Inc, and ZETA WORKS LLC")[0]] == ["zeta works"] and col(spark, company_names(F.col("v")), None, "") == [None, []]
+
+
+def test_documents(spark):
+    from ledgerloom.functions import jsonld
+
+    doc = {"@type": "Article", "name": "a<b", "url": "http://x", "author": {"@type": "Person", "name": "p"}, "tags": ["q", {"@type": "Thing", "name": "r"}], "image": "i"}
+    m, r = (col(spark, f(F.col("v")), json.dumps(doc), "no", None, "[1]") for f in (jsonld.microdata, jsonld.rdfa))
+    assert m[1:] == r[1:] == [None, None, None]
+    assert m[0].count("itemscope") == 3 and 'href="http://x"' in m[0] and "a&lt;b" in m[0] and '<link itemprop="image" href="i">' in m[0]
+    assert r[0].count("typeof=") == 3 and '<div property="author">' in r[0]
+    new = col(spark, jsonld.regenerated(F.col("v"), F.lit('{"keep":{"n":[1,2]},"name":"old"}'), ["keep"]), '{"name":"new"}')[0]
+    assert json.loads(new) == {"name": "new", "keep": {"n": [1, 2]}}
+    assert col(spark, jsonld.graph(F.array("v")), "{}") == ["{}"]
+
+
+def test_problems_of_documents(spark):
+    found = lambda d: set(validation.problems(d))
+    good = {"@context": "c", "@type": "Dataset", "name": "n", "description": "d", "creator": "x", "distribution": "y"}
+    assert found(good) == {("success", "type", None)}
+    assert ("error", "context", "@context") in found({}) and ("error", "type", "@type") in found({})
+    assert ("warning", "nested", "creator") in found(good | {"creator": [{"@type": "Dataset"}]}) and ("warning", "nested", "a") not in found(good | {"a": good})
+    deep = good
+    for _ in range(50):
+        deep = good | {"part": deep}
+    assert found(deep) == {("success", "type", None)}
+    assert {("error", "url", "url"), ("warning", "date", "dateCreated"), ("error", "value type", "width"), ("warning", "duration", "duration")} <= found(good | {"url": "x", "dateCreated": "1.1.", "width": "5", "duration": "5 min"})
+    got = validation.report(spark.createDataFrame([("x",), (None,), (json.dumps(good),)], "j string"), F.col("j")).orderBy("errors").collect()
+    assert [r.errors for r in got] == [0, 1, 1] and [r.is_valid for r in got] == [True, False, False]
+
+
+def test_hashes_in_the_key_value_table(spark):
+    t = spark.createDataFrame([("n", "h:a", "1", None), ("n", "h:b", "2", datetime(2020, 1, 1)), ("m", "h:a", "3", None)], "namespace string, key string, value string, expires_at timestamp_ntz")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    assert rows(kv.fields(t, "n", "h", now)) == [("a", "1")]
+    assert rows(kv.fields(kv.expire(t, "n", ["h:b"], None), "n", "h", now)) == [("a", "1"), ("b", "2")]
+    assert rows(kv.set_fields(t, "n", "h", spark.createDataFrame([("a", "9")], "field string, value string")).select("namespace", "key", "value")) == [("m", "h:a", "3"), ("n", "h:a", "9"), ("n", "h:b", "2")]
+    assert kv.flush(t).count() == 0 and kv.flush(t, "n").count() == 1 and kv.delete(t, "n", ["h:a"]).count() == 2
