@@ -192,50 +192,68 @@ def align(item: list[str], doc: list[str], low: int, high: int, diagonal: int, b
     """Best local alignment of ``item`` in doc[low:high] within ``band`` of doc place = item place + diagonal.
 
     Returns (words matched, first, last + 1 in doc). A match counts 1, a changed, missing or added word -1; two words of one side may stand for one of the other.
+    Only places that match or follow a place with a score are looked at; all others have none.
     """
+    where: dict[str, list[int]] = {}
+    pairs: dict[str, list[int]] = {}
+    for j in range(low, high):
+        where.setdefault(doc[j], []).append(j)
+        if j > low:
+            pairs.setdefault(doc[j - 1] + doc[j], []).append(j)
     zero = (0, 0, 0)
-    rows: list[dict[int, tuple[int, int, int]]] = [{}, {}]
-    best, found = (0, 0, 0), (0, 0, 0)
+    older: dict[int, tuple[int, int, int]] = {}
+    last: dict[int, tuple[int, int, int]] = {}
+    best, found = zero, zero
     for i, w in enumerate(item):
+        first, end, size = max(low, i + diagonal - band), min(high, i + diagonal + band + 1), len(w)
+        hits = set(where.get(w, ()))
+        if size >= 4:
+            hits.update(j for j in range(first, end) if -3 < len(doc[j]) - size < 3 and doc[j] != w and near(w, doc[j]))
+        parted = pairs.get(w, ())
+        glued = where.get(item[i - 1] + w, ()) if i else ()
+        todo = sorted({j for j in (*hits, *parted, *glued, *last, *(j + 1 for j in last)) if first <= j < end}, reverse=True)
         row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(low, i + diagonal - band), min(high, i + diagonal + band + 1)):
-            x = doc[j]
-            s, m, a = rows[-1].get(j - 1, zero)
-            if w == x or near(w, x):
+        while todo:
+            j = todo.pop()
+            s, m, a = last.get(j - 1, zero)
+            if j in hits:
                 cell = (s + 1, m + 1, a if s else j)
             else:
                 cell = (s - 1, m, a)
-                s, m, a = rows[-1].get(j - 2, zero)
-                if j - 1 >= low and w[0] == doc[j - 1][0] and w == doc[j - 1] + x:
+                if j in parted:
+                    s, m, a = last.get(j - 2, zero)
                     cell = (s + 1, m + 1, a if s else j - 1)
-                elif i and x[0] == item[i - 1][0] and x == item[i - 1] + w:
-                    s, m, a = rows[-2].get(j - 1, zero)
+                elif j in glued:
+                    s, m, a = older.get(j - 1, zero)
                     cell = (s + 2, m + 2, a if s else j)
-            for s, m, a in (rows[-1].get(j, zero), row.get(j - 1, zero)):
+            for s, m, a in (last.get(j, zero), row.get(j - 1, zero)):
                 if s - 1 > cell[0]:
                     cell = (s - 1, m, a)
             if cell[0] > 0:
                 row[j] = cell
                 if cell[0] > best[0]:
                     best, found = cell, (cell[1], cell[2], j + 1)
-        rows = [rows[-1], row]
+                if j + 1 < end and (not todo or todo[-1] != j + 1):
+                    todo.append(j + 1)
+        older, last = last, row
     return found if best[0] >= LEAST - 2 else (0, 0, 0)
 
 
 def _dense(item: list[str], doc: list[str], low: int, high: int, diagonal: int, band: int = 10) -> bool:
-    """Whether DENSE of some LEAST words of the item in a row stand near their place in doc[low:high], or half of LEAST, and the others close by, damaged, joined or split at most."""
+    """Whether DENSE of some LEAST words of the item in a row stand near their place in doc[low:high], or half of LEAST close by, and the others there damaged, joined or split at most."""
     at: dict[str, list[int]] = {}
     for j in range(low, high):
         at.setdefault(doc[j], []).append(j - diagonal)
     hits = [any(-band <= j - i <= band for j in at.get(w, ())) for i, w in enumerate(item)]
-    best = _fullest(hits)
-    if best >= DENSE or 2 * best < LEAST:
-        return best >= DENSE
-    # damaged words, close to the diagonal
-    close: list[bool] = []
-    for i, w in enumerate(item):
-        here = range(max(low, i + diagonal - 3), min(high, i + diagonal + 4))
-        close.append((hits[i] and any(doc[j] == w for j in here)) or any(_damaged(item, i, doc, j, high) for j in here))
+    if _fullest(hits) >= DENSE:
+        return True
+    # damaged words, close to the diagonal like those beside them
+    close = [any(-3 <= j - i <= 3 for j in at.get(w, ())) for i, w in enumerate(item)]
+    if 2 * _fullest(close) < LEAST:
+        return False
+    for i, there in enumerate(close):
+        if not there:
+            close[i] = any(_damaged(item, i, doc, j, high) for j in range(max(low, i + diagonal - 3), min(high, i + diagonal + 4)))
     return _fullest(close) >= DENSE
 
 
